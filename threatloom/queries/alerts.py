@@ -6,7 +6,7 @@ from threatloom.functions.alerts import normalize_alerts
 from threatloom.functions.text import classify_stage
 from threatloom.operators import alert_graph as A
 from threatloom.operators.writes import dedup_nodes, edge_kind
-from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum
+from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum, stage_graph
 
 
 def alert_rows(spark, sf):
@@ -24,13 +24,18 @@ def classify(spark, sf):
 
 @query(
     "e14_normalize_alerts",
-    sql("SELECT alert_idx, alert, host, day, rule, process, port, \"user\", stage, array_to_string(list_distinct(ips), ',') AS ips, array_to_string(list_sort(list_distinct(files)), ',') AS files FROM a_rows"),
+    sql("SELECT alert_idx, alert, host, day, rule, process, port, usr AS \"user\", stage, array_to_string(list_distinct(ips), ',') AS ips, array_to_string(list_sort(list_distinct(files)), ',') AS files FROM a_rows"),
 )
 def normalized(spark, sf):
     rows = alert_rows(spark, sf)
     return rows.withColumn("ips", F.array_join("ips", ",")).withColumn("files", F.array_join(F.sort_array("files"), ","))
 
 
+def stored_alert_graph(spark, sf, mode="first_seen"):
+    """The alert graph as a stage table."""
+    return stage_graph(spark, sf, f"alert_graph_{mode}", lambda: alert_graph(spark, sf, mode))
+
+
 def _edges(name, etypes, mode="all"):
     listed = ", ".join(f"'{t}'" for t in etypes)
     suffix = "_all" if mode == "all" else "_first"

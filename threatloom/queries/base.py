@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threatloom.session import scratch_folder
+from threatloom.sources.tables import load_graph, save_graph
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -32,6 +35,33 @@ def sql_checksum(*columns):
     return f"CAST(sum(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)) AS BIGINT) AS checksum"
 
 
+_STAGES = {}
+
+
+def stage(spark, sf, name, build):
+    """Table that several queries start from, written once per application and table folder.
+
+    Stages of a run hand over tables, not plans: a graph is built once and then read, so that
+    later steps scan only the columns and edge kinds they need.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGES:
+        path = scratch_folder(spark, name)
+        build().write.parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
+
+
+def stage_graph(spark, sf, name, build):
+    """A graph as stage tables."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGES:
+        path = scratch_folder(spark, name)
+        save_graph(build(), path)
+        _STAGES[key] = path
+    return load_graph(spark, _STAGES[key])
+
+
 # ---------------------------------------------------------------- Spark side
 
 
@@ -56,6 +86,10 @@ def reports(spark, sf):
 
 
 def mention(spark, sf):
+    return stage(spark, sf, "mentions", lambda: build_mention(spark, sf))
+
+
+def build_mention(spark, sf):
     """Entities of reports (report = order); one pass over the line items, exploded by kind."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     items = table(spark, sf, "lineitem").select(
@@ -179,7 +213,7 @@ strftime(try_strptime(ts_raw, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%Y-%m-%dT%H:%M:
 coalesce(nullif(trim(rule_id), ''), 'rule_' || CAST(alert_idx AS VARCHAR)) AS rule,
 coalesce(nullif(trim(process_name), ''), nullif(trim(process_executable), '')) AS process,
 'port_' || CAST(nullif(TRY_CAST(destination_port AS BIGINT), 0) AS VARCHAR) AS port,
-nullif(trim(user_name), '') AS user,
+nullif(trim(user_name), '') AS usr,
 CASE WHEN regexp_matches(lower(description), 'reconnaissance|scan|discovery') THEN 'Reconnaissance'
      WHEN regexp_matches(lower(description), 'exploit|vulnerability|cve') THEN 'Exploitation'
      WHEN regexp_matches(lower(description), 'lateral|movement|pivot') THEN 'Lateral_Movement'
@@ -194,14 +228,14 @@ FROM (SELECT *, concat_ws(' ', agent_name, ts_raw, rule_id, description, process
 UNION ALL SELECT host, 'host', [alert_idx, 1, 0] FROM a_rows UNION ALL SELECT day, 'timestamp', [alert_idx, 2, 0] FROM a_rows WHERE day IS NOT NULL
 UNION ALL SELECT rule, 'rule', [alert_idx, 3, 0] FROM a_rows UNION ALL SELECT ip, 'ip', [alert_idx, 4, j] FROM a_ip UNION ALL SELECT file, 'file', [alert_idx, 5, j] FROM a_file
 UNION ALL SELECT process, 'process', [alert_idx, 6, 0] FROM a_rows WHERE process IS NOT NULL UNION ALL SELECT port, 'port', [alert_idx, 7, 0] FROM a_rows WHERE port IS NOT NULL
-UNION ALL SELECT user, 'user', [alert_idx, 8, 0] FROM a_rows WHERE user IS NOT NULL UNION ALL SELECT stage, 'attack_stage', [alert_idx, 9, 0] FROM a_rows WHERE stage IS NOT NULL""",
+UNION ALL SELECT usr, 'user', [alert_idx, 8, 0] FROM a_rows WHERE usr IS NOT NULL UNION ALL SELECT stage, 'attack_stage', [alert_idx, 9, 0] FROM a_rows WHERE stage IS NOT NULL""",
     "a_nodes": "SELECT key, CASE WHEN bool_or(ntype = 'alert') THEN 'alert' ELSE arg_min(ntype, o) END AS ntype, min(o) AS o FROM a_node_writes GROUP BY key",
     "a_first": "SELECT key, arg_min(ntype, o) AS ntype, min(o)[1] AS alert_idx FROM a_node_writes GROUP BY key",
-    "a_gate_all": "SELECT alert_idx, process IS NOT NULL AS gp, port IS NOT NULL AS gq, user IS NOT NULL AS gu, stage IS NOT NULL AS gs FROM a_rows",
+    "a_gate_all": "SELECT alert_idx, process IS NOT NULL AS gp, port IS NOT NULL AS gq, usr IS NOT NULL AS gu, stage IS NOT NULL AS gs FROM a_rows",
     "a_gate_first": """SELECT alert_idx,
 EXISTS (SELECT 1 FROM a_first f WHERE f.key = process AND f.ntype = 'process' AND f.alert_idx = r.alert_idx) AS gp,
 EXISTS (SELECT 1 FROM a_first f WHERE f.key = port AND f.ntype = 'port' AND f.alert_idx = r.alert_idx) AS gq,
-EXISTS (SELECT 1 FROM a_first f WHERE f.key = user AND f.ntype = 'user' AND f.alert_idx = r.alert_idx) AS gu,
+EXISTS (SELECT 1 FROM a_first f WHERE f.key = usr AND f.ntype = 'user' AND f.alert_idx = r.alert_idx) AS gu,
 EXISTS (SELECT 1 FROM a_first f WHERE f.key = stage AND f.ntype = 'attack_stage' AND f.alert_idx = r.alert_idx) AS gs FROM a_rows r""",
     "a_stage_chain": """SELECT key AS src, lead(key) OVER (ORDER BY coalesce(list_position(['Reconnaissance', 'Exploitation', 'Privilege_Escalation', 'Lateral_Movement', 'Data_Exfiltration'], key), 999), o) AS dst
 FROM a_nodes WHERE ntype = 'attack_stage'""",
@@ -222,9 +256,9 @@ _ALERT_EDGES = [
     ("process_connects_to_ip", "process", "ip", "a_ip", "gp"),
     ("ip_uses_port", "ip", "port", "a_ip", "gq"),
     ("process_uses_port", "process", "port", "a_rows", "gq"),
-    ("alert_involves_user", "alert", "user", "a_rows", "gu"),
-    ("user_owns_process", "user", "process", "a_rows", "gu"),
-    ("user_accesses_file", "user", "file", "a_file", "gu"),
+    ("alert_involves_user", "alert", "usr", "a_rows", "gu"),
+    ("user_owns_process", "usr", "process", "a_rows", "gu"),
+    ("user_accesses_file", "usr", "file", "a_file", "gu"),
     ("alert_related_to_attack_stage", "alert", "stage", "a_rows", "gs"),
     ("timestamp_of_attack_stage", "stage", "day", "a_rows", "gs"),
     ("attack_stage_involves_ip", "stage", "ip", "a_ip", "gs"),

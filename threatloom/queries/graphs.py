@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from threatloom.operators import report_graph as R
 from threatloom.operators.counts import canonical_counts, edge_counts, node_counts
 from threatloom.operators.writes import dedup_edges, dedup_nodes, edge_kind
-from threatloom.queries.base import alerts, checksum, mention, query, reports, sql, sql_checksum
+from threatloom.queries.base import alerts, checksum, mention, query, reports, sql, sql_checksum, stage_graph
 from threatloom.vocab import BASIC_KINDS
 
 
@@ -14,6 +14,11 @@ def report_graph(spark, sf, kinds=None):
     return R.build_report_graph(*args, kinds) if kinds else R.build_report_graph(*args)
 
 
+def stored_report_graph(spark, sf):
+    """The report graph as a stage table."""
+    return stage_graph(spark, sf, "report_graph", lambda: report_graph(spark, sf))
+
+
 _EDGES = f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM r_edges GROUP BY 1"
 _BASIC_WRITES = """SELECT src, dst, etype, o FROM name_writes WHERE etype IN ('report_contains_ip', 'report_contains_domain', 'report_contains_hash', 'report_contains_file')
 UNION ALL SELECT src, dst, etype, o FROM time_writes UNION ALL SELECT src, dst, etype, o FROM pair_writes WHERE contains(etype, '_appears_with_')"""
@@ -95,12 +100,12 @@ def dedup_edges_multi(spark, sf):
 
 @query("a01_node_counts", sql("SELECT ntype, count(*) AS n FROM r_nodes GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM r_nodes"))
 def node_counts_query(spark, sf):
-    return node_counts(report_graph(spark, sf).nodes)
+    return node_counts(stored_report_graph(spark, sf).nodes)
 
 
 @query("a02_edge_counts", sql("SELECT etype, count(*) AS n FROM r_edges GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM r_edges"))
 def edge_counts_query(spark, sf):
-    return edge_counts(report_graph(spark, sf).edges)
+    return edge_counts(stored_report_graph(spark, sf).edges)
 
 
 @query(
@@ -110,4 +115,4 @@ def edge_counts_query(spark, sf):
     ),
 )
 def canonical_counts_query(spark, sf):
-    return canonical_counts(*report_graph(spark, sf))
+    return canonical_counts(*stored_report_graph(spark, sf))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from threatloom.operators import links as L
 from threatloom.operators.containment import containment_pairs
-from threatloom.operators.writes import edge_kind
-from threatloom.queries.alerts import alert_graph
+from threatloom.queries.alerts import stored_alert_graph
 from threatloom.queries.base import checksum, query, sql, sql_checksum
-from threatloom.queries.graphs import edges_by_kind, report_graph
+from threatloom.queries.graphs import edges_by_kind, stored_report_graph
 
 # DuckDB side of every link, over the first-seen alert graph.
 _SHARED = "SELECT r.key, r.ntype FROM r_nodes r JOIN a_nodes a ON a.key = r.key AND a.ntype = r.ntype"
@@ -52,7 +51,7 @@ def linked_sql(body):
 
 def both(spark, sf):
     """Report graph and first-seen alert graph."""
-    return report_graph(spark, sf), alert_graph(spark, sf, "first_seen")
+    return stored_report_graph(spark, sf), stored_alert_graph(spark, sf, "first_seen")
 
 
 def _per_report(links):
