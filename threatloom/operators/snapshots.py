@@ -23,7 +23,7 @@ def assign_snapshot(days: DataFrame, n=5, mode="fractional", include_last=True)
     The last day lies on the open end; ``include_last`` puts it into the last slot. A range
     of zero days has no slots.
     """
-    date = F.to_date("day", "yyyy-MM-dd")
+    date = F.try_to_date("day", "yyyy-MM-dd")
     span = days.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     dated = days.distinct().withColumn("_lo", span.select("lo").scalar()).withColumn("_hi", span.select("hi").scalar())
     width = F.datediff("_hi", "_lo")
