@@ -10,9 +10,13 @@ REPORT_ENTITY_KINDS = ["ip", "domain", "hash", "file"]
 
 
 def day_nodes(nodes: DataFrame) -> DataFrame:
-    """Days of the graph that parse as dates."""
-    days = nodes.where(F.col("ntype") == "timestamp").select(F.col("key").alias("day"))
-    return days.where(F.try_to_date("day", "yyyy-MM-dd").isNotNull())
+    """Days of the graph that parse as dates.
+
+    The date is an aggregate so that later joins on the day do not infer the same parse for
+    every edge target.
+    """
+    days = nodes.where(F.col("ntype") == "timestamp").groupBy(F.col("key").alias("day"))
+    return days.agg(F.max(F.try_to_date("key", "yyyy-MM-dd")).alias("date")).where("date is not null").select("day")
 
 
 def assign_snapshot(days: DataFrame, n=5, mode="fractional", include_last=True) -> DataFrame:
@@ -23,9 +27,10 @@ def assign_snapshot(days: DataFrame, n=5, mode="fractional", include_last=True)
     The last day lies on the open end; ``include_last`` puts it into the last slot. A range
     of zero days has no slots.
     """
-    date = F.try_to_date("day", "yyyy-MM-dd")
-    span = days.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    dated = days.distinct().withColumn("_lo", span.select("lo").scalar()).withColumn("_hi", span.select("hi").scalar())
+    dated = days.groupBy("day").agg(F.max(F.try_to_date("day", "yyyy-MM-dd")).alias("date"))
+    date = F.col("date")
+    span = dated.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    dated = dated.withColumn("_lo", span.select("lo").scalar()).withColumn("_hi", span.select("hi").scalar())
     width = F.datediff("_hi", "_lo")
     step = width.cast("double") / F.lit(float(n))
 
