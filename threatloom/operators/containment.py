@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.pairs import blocked_join
+from threatloom.session import checkpointed
 
 
 def _contained(needles: DataFrame, haystacks: DataFrame, q: int) -> DataFrame:
@@ -17,12 +18,12 @@ def _contained(needles: DataFrame, haystacks: DataFrame, q: int) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), lambda i: F.substring(s, i, k)
     )
     by_length = F.flatten(F.array(*[F.when(F.length("hay") >= k, grams_of(F.lit(k), F.col("hay"))).otherwise(F.array().cast("array<string>")) for k in range(1, q + 1)]))
-    hay = haystacks.select("hay", F.explode(F.array_distinct(by_length)).alias("gram"))
+    hay = checkpointed(haystacks.select("hay", F.explode(F.array_distinct(by_length)).alias("gram")))
     own = F.array_distinct(grams_of(F.least(F.lit(q), F.length("needle")), F.col("needle")))
     keyed = needles.where(F.length("needle") > 0).select("needle", F.explode(own).alias("gram"))
     freq = hay.join(keyed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = keyed.join(freq, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("g"))
-    rarest = rarest.select("needle", F.col("g.gram").alias("gram"))
+    rarest = checkpointed(rarest.select("needle", F.col("g.gram").alias("gram")))
     return blocked_join(rarest, hay, "gram", "needle", "hay").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
 
 

@@ -1,4 +1,14 @@
-"""Merging the report graph with the alert graph, and the links between them."""
+"""Merging the report graph with the alert graph, and the links between them.
+
+Reports and alerts that share an indicator are all linked with each other, so a common
+indicator makes a product. Links are therefore kept between *groups*: sources that touch
+exactly the same indicators (repeated alerts, copied reports) have the same links and
+form one group. Counting and deciding between link kinds happen on groups; ``link_pairs`` writes the
+single pairs out where they are wanted.
+"""
+
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -7,10 +17,45 @@ from threatloom.operators.containment import containment_pairs
 from threatloom.operators.graph import Graph
 from threatloom.operators.pairs import blocked_join
 from threatloom.operators.writes import PHASE, PLACES, edge_kind, place
+from threatloom.session import checkpointed
 
 SHARED_KINDS = ["ip", "file", "timestamp", "process", "attack_stage"]
 
 
+class Links(NamedTuple):
+    """``groups(src_group, dst_group, place)`` and the members ``(group, key)`` of either side."""
+
+    groups: DataFrame
+    src_members: DataFrame
+    dst_members: DataFrame
+
+
+class LinkKind(NamedTuple):
+    """Node kind, edge kinds into it on both sides, name of the link, and whether keys match by containment."""
+
+    kind: str
+    report_edges: list
+    alert_edges: list
+    name: str
+    contained: bool = False
+
+
+# Which edges meet in which link.
+BY_IP = LinkKind("ip", ["report_contains_ip"], ["alert_involves_ip", "host_has_ip"], "report_related_to_alert")
+BY_FILE = LinkKind("file", ["report_contains_file"], ["rule_related_to_file", "alert_involves_file"], "report_related_to_rule", True)
+BY_DAY = LinkKind("timestamp", ["timestamp_of_report"], ["alert_at_timestamp"], "report_related_to_alert_by_time")
+BY_PROCESS = LinkKind("process", ["report_contains_process"], ["alert_involves_process"], "report_related_to_alert_by_process", True)
+BY_STAGE = LinkKind(
+    "attack_stage", ["report_describes_attack_stage"], ["alert_related_to_attack_stage"], "report_related_to_alert_by_attack_stage"
+)
+# Edge kinds that the plain reading of the two late links looks for, and that no builder writes.
+PARITY_EDGES = {"timestamp": ["report_at_timestamp"], "attack_stage": ["report_related_to_attack_stage"]}
+
+
+def _union(frames):
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _keys(graph: Graph, kind: str) -> DataFrame:
     return graph.nodes.where(F.col("ntype") == kind).select("key")
 
@@ -28,61 +73,108 @@ def shared_key_counts(a: Graph, b: Graph, kinds=tuple(SHARED_KINDS)) -> DataFram
     return wanted.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _sources(graph: Graph, kind: str, etypes, keys: DataFrame, name: str) -> DataFrame:
-    """Sources of the given edges into ``keys``, as (key, name)."""
-    into = graph.edges.where(F.col("etype").isin(*etypes)).select(F.col("dst").alias("key"), F.col("src").alias(name))
-    return into.join(keys, "key", "left_semi")
+def _matches(a: Graph, b: Graph, link: LinkKind) -> DataFrame:
+    """Pairs (a_key, b_key) of keys that count as the same indicator."""
+    if link.contained:
+        return containment_pairs(_keys(a, link.kind), _keys(b, link.kind))
+    return shared_keys(a, b, link.kind).select(F.col("key").alias("a_key"), F.col("key").alias("b_key"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
-    joined = blocked_join(left, right, key, "report", "source")
-    return joined.select(F.col("report").alias("src"), F.col("source").alias("dst")).distinct().withColumn("place", F.lit(place(name)))
+def _touches(graph: Graph, etypes, match: DataFrame, side: str, link: LinkKind) -> DataFrame:
+    """(key, at, place): sources of the given edges into matched indicators."""
+    into = graph.edges.where(F.col("etype").isin(*etypes)).select(F.col("src").alias("key"), F.col("dst").alias("at"))
+    matched = match.select(F.col(side).alias("at")).distinct()
+    return into.join(matched, "at", "left_semi").distinct().withColumn("place", F.lit(place(link.name)))
 
 
-def _link_equal(a, b, kind, a_types, b_types, name):
-    keys = shared_keys(a, b, kind)
-    return _pairs(_sources(a, kind, a_types, keys, "report"), _sources(b, kind, b_types, keys, "source"), "key", name)
+def _grouped(touches: DataFrame):
+    """Sources with the same set of (place, indicator) share a group, named by its first member.
 
+    A set is recognised by its size and two 64-bit hashes folded with xor, which sums up before
+    the shuffle and never holds a set in one place.
+    """
+    touches = checkpointed(touches)
+    fold = lambda seed: F.bit_xor(F.xxhash64("place", "at", F.lit(seed)))
+    sets = touches.groupBy("key").agg(fold(1).alias("h1"), fold(2).alias("h2"), F.count("*").alias("n"))
+    names = sets.groupBy("h1", "h2", "n").agg(F.min("key").alias("group"))
+    members = checkpointed(sets.join(names, ["h1", "h2", "n"]).select("group", "key"))
+    heads = members.where("group = key").select("key")
+    return checkpointed(touches.join(heads, "key", "left_semi").withColumnRenamed("key", "group")), members
 
-def _link_contained(a, b, kind, a_types, b_types, name):
-    match = containment_pairs(_keys(a, kind), _keys(b, kind))
-    reports = _sources(a, kind, a_types, match.select(F.col("a_key").alias("key")), "report")
-    reached = blocked_join(reports, match.withColumnRenamed("a_key", "key"), "key", "report", "b_key")
-    reached = reached.select("report", F.col("b_key").alias("key")).distinct()
-    sources = _sources(b, kind, b_types, match.select(F.col("b_key").alias("key")), "source")
-    return _pairs(reached, sources, "key", name)
 
+def _link(a: Graph, b: Graph, kinds) -> Links:
+    """Links of several kinds over one grouping of each side; of several kinds for a pair the last decides.
 
-def link_by_ip(a: Graph, b: Graph, alerts_only=False) -> DataFrame:
+    Steps that later ones read more than once are checkpointed, so nothing is computed twice.
+    """
+    matches = {k.name: checkpointed(_matches(a, b, k)) for k in kinds}
+    reports, src_members = _grouped(_union([_touches(a, k.report_edges, matches[k.name], "a_key", k) for k in kinds]))
+    alerts, dst_members = _grouped(_union([_touches(b, k.alert_edges, matches[k.name], "b_key", k) for k in kinds]))
+    found = []
+    for k in kinds:
+        here = F.col("place") == place(k.name)
+        left = reports.where(here).select(F.col("group").alias("src_group"), F.col("at").alias("a_key"))
+        right = alerts.where(here).select(F.col("group").alias("dst_group"), F.col("at").alias("b_key"))
+        if k.contained:
+            left = blocked_join(left, matches[k.name], "a_key", "src_group", "b_key").select("src_group", "b_key").distinct()
+        else:
+            left = left.withColumnRenamed("a_key", "b_key")
+        met = blocked_join(left, right, "b_key", "src_group", "dst_group").select("src_group", "dst_group")
+        found.append(met.withColumn("place", F.lit(place(k.name))))
+    groups = _union(found).groupBy("src_group", "dst_group").agg(F.max("place").alias("place"))
+    return Links(checkpointed(groups), src_members, dst_members)
+
+
+def link_pairs(links: Links) -> DataFrame:
+    """Every single pair (src, dst, place) of the links."""
+    members = lambda m, side: m.select(F.col("group").alias(f"{side}_group"), F.col("key").alias(side))
+    sources = blocked_join(links.groups, members(links.src_members, "src"), "src_group", "dst_group", "src")
+    whole = blocked_join(checkpointed(sources.select("src", "dst_group", "place")), members(links.dst_members, "dst"), "dst_group", "src", "dst")
+    return whole.select("src", "dst", "place")
+
+
+def _sized(members, side):
+    return members.groupBy(F.col("group").alias(f"{side}_group")).agg(F.count("*").alias(f"{side}_n"))
+
+
+def link_counts(links: Links) -> DataFrame:
+    """Number of pairs of every link kind, without writing the pairs out."""
+    sized = links.groups.join(_sized(links.src_members, "src"), "src_group").join(_sized(links.dst_members, "dst"), "dst_group")
+    return sized.groupBy(edge_kind("place").alias("etype")).agg(F.sum(F.col("src_n") * F.col("dst_n")).alias("n"))
+
+
+def links_per_source(links: Links) -> DataFrame:
+    """Number of linked partners of every report, without writing the pairs out."""
+    sized = links.groups.join(_sized(links.dst_members, "dst"), "dst_group")
+    totals = sized.groupBy(F.col("src_group").alias("group")).agg(F.sum("dst_n").alias("n"))
+    return links.src_members.join(totals, "group").select(F.col("key").alias("src"), "n")
+
+
+def link_by_ip(a: Graph, b: Graph, alerts_only=False) -> Links:
     """Reports and the alerts (and hosts) that share an address."""
-    types = ["alert_involves_ip"] if alerts_only else ["alert_involves_ip", "host_has_ip"]
-    return _link_equal(a, b, "ip", ["report_contains_ip"], types, "report_related_to_alert")
+    return _link(a, b, [BY_IP._replace(alert_edges=["alert_involves_ip"]) if alerts_only else BY_IP])
 
 
-def link_by_file(a: Graph, b: Graph) -> DataFrame:
+def link_by_file(a: Graph, b: Graph) -> Links:
     """Reports and the rules and alerts whose path contains the report's, or the other way round."""
-    return _link_contained(
-        a, b, "file", ["report_contains_file"], ["rule_related_to_file", "alert_involves_file"], "report_related_to_rule"
-    )
+    return _link(a, b, [BY_FILE])
+
 
+def link_by_process(a: Graph, b: Graph) -> Links:
+    return _link(a, b, [BY_PROCESS])
 
-def link_by_process(a: Graph, b: Graph) -> DataFrame:
-    return _link_contained(
-        a, b, "process", ["report_contains_process"], ["alert_involves_process"], "report_related_to_alert_by_process"
-    )
 
+def _mode(link: LinkKind, mode):
+    return link if mode == "intended" else link._replace(report_edges=PARITY_EDGES[link.kind])
 
-def link_by_day(a: Graph, b: Graph, mode="intended") -> DataFrame:
+
+def link_by_day(a: Graph, b: Graph, mode="intended") -> Links:
     """Reports and alerts of one day; ``parity`` looks for an edge kind nobody writes."""
-    kind = "timestamp_of_report" if mode == "intended" else "report_at_timestamp"
-    return _link_equal(a, b, "timestamp", [kind], ["alert_at_timestamp"], "report_related_to_alert_by_time")
+    return _link(a, b, [_mode(BY_DAY, mode)])
 
 
-def link_by_stage(a: Graph, b: Graph, mode="intended") -> DataFrame:
-    kind = "report_describes_attack_stage" if mode == "intended" else "report_related_to_attack_stage"
-    return _link_equal(
-        a, b, "attack_stage", [kind], ["alert_related_to_attack_stage"], "report_related_to_alert_by_attack_stage"
-    )
+def link_by_stage(a: Graph, b: Graph, mode="intended") -> Links:
+    return _link(a, b, [_mode(BY_STAGE, mode)])
 
 
 def shared_stage(a: Graph, b: Graph) -> DataFrame:
@@ -92,8 +184,8 @@ def shared_stage(a: Graph, b: Graph) -> DataFrame:
     """
     touch = lambda g, what: g.edges.where(F.col("etype") == f"attack_stage_involves_{what}").select("src", F.col("dst").alias("key"))
     by_ip = touch(a, "ip").join(shared_keys(a, b, "ip"), "key", "left_semi").join(touch(b, "ip"), ["src", "key"], "left_semi")
-    match = containment_pairs(_keys(a, "process"), _keys(b, "process"))
-    reach = touch(a, "process").join(match, F.col("key") == F.col("a_key")).select("src", F.col("b_key").alias("key"))
+    match = containment_pairs(_keys(a, "process"), _keys(b, "process")).select(F.col("a_key").alias("key"), "b_key")
+    reach = touch(a, "process").join(match, "key").select("src", F.col("b_key").alias("key"))
     by_process = reach.join(touch(b, "process"), ["src", "key"], "left_semi")
     loop = lambda d, name: d.select("src", F.col("src").alias("dst")).distinct().withColumn("place", F.lit(place(name)))
     return loop(by_ip, "shared_attack_stage:ip").unionByName(loop(by_process, "shared_attack_stage:process"))
@@ -107,20 +199,25 @@ def stages_same_day(a: Graph, b: Graph) -> DataFrame:
     return joined.select("src", "dst").distinct().withColumn("place", F.lit(place("attack_stages_at_same_time")))
 
 
-def merge_links(a: Graph, b: Graph, mode="intended") -> DataFrame:
-    """All links, one row per pair; ip < file < day < process < stage, the later one decides."""
-    parts = [link_by_ip(a, b), link_by_file(a, b), link_by_process(a, b), shared_stage(a, b), stages_same_day(a, b)]
-    if mode == "intended":
-        parts += [link_by_day(a, b), link_by_stage(a, b)]
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    last = links.groupBy("src", "dst").agg(F.max("place").cast("long").alias("ord"))
+def merge_links(a: Graph, b: Graph, mode="intended"):
+    """All links: those between groups of reports and alerts, and the pairs of stages.
+
+    Of several link kinds for one pair ip < file < day < process < stage decides. ``parity``
+    leaves out the two links that never match in the plain reading.
+    """
+    kinds = [BY_IP, BY_FILE, BY_PROCESS] + ([BY_DAY, BY_STAGE] if mode == "intended" else [])
+    stages = shared_stage(a, b).unionByName(stages_same_day(a, b)).groupBy("src", "dst").agg(F.max("place").alias("place"))
+    return _link(a, b, kinds), stages
+
+
+def merged_link_edges(links: Links, stages: DataFrame) -> DataFrame:
+    """All links as single edges."""
+    last = link_pairs(links).unionByName(stages).groupBy("src", "dst").agg(F.max("place").cast("long").alias("ord"))
     return last.select("src", "dst", edge_kind().alias("etype"), "ord")
 
 
 def merge_graphs(a: Graph, b: Graph, links: DataFrame = None) -> Graph:
-    """Union of a report graph and an alert graph, and their links.
+    """Union of a report graph and an alert graph, and of link edges where given.
 
     A key or pair on both sides is the report graph's; a link replaces either. ``ord`` of the
     merged nodes puts all report nodes before the alert nodes.

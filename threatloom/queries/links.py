@@ -1,7 +1,7 @@
 """Merging both graphs and linking them.
 
-A link query joins whole tables and reports, per report, how many sources it reaches and
-which, as a checksum; the pair rows themselves are what the link operators return.
+Each link is checked twice over the whole tables: partners per report from the groups, and
+all single pairs as a count and checksum per report.
 """
 
 from pyspark.sql import functions as F
@@ -54,18 +54,16 @@ def both(spark, sf):
     return stored_report_graph(spark, sf), stored_alert_graph(spark, sf, "first_seen")
 
 
-def _per_report(links):
-    return links.groupBy(F.col("src").alias("report")).agg(F.count("*").alias("n"), checksum("src", "dst"))
-
-
-def _per_report_sql(rel):
-    return linked_sql(f"SELECT src AS report, count(*) AS n, {sql_checksum('src', 'dst')} FROM {rel} GROUP BY 1")
-
-
 def _link(name, fn, rel):
-    @query(name, _per_report_sql(rel))
+    """Two queries: partners per report counted on groups, and all pairs written out."""
+
+    @query(name, linked_sql(f"SELECT src, count(*) AS n FROM {rel} GROUP BY 1"))
     def run(spark, sf):
-        return _per_report(fn(*both(spark, sf)))
+        return L.links_per_source(fn(*both(spark, sf)))
+
+    @query(f"{name}_pairs", linked_sql(f"SELECT src, count(*) AS n, {sql_checksum('src', 'dst')} FROM {rel} GROUP BY 1"))
+    def pairs(spark, sf):
+        return L.link_pairs(fn(*both(spark, sf))).groupBy("src").agg(F.count("*").alias("n"), checksum("src", "dst"))
 
 
 @query(
@@ -103,12 +101,19 @@ def stages_same_day(spark, sf):
     return L.stages_same_day(*both(spark, sf)).select("src", "dst")
 
 
-@query(
-    "g59_merge_links",
-    linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM (SELECT src, dst, arg_max(etype, o) AS etype FROM l_all GROUP BY 1, 2) GROUP BY 1"),
-)
+_LAST = "(SELECT src, dst, arg_max(etype, o) AS etype FROM l_all GROUP BY 1, 2)"
+
+
+@query("g59_merge_links", linked_sql(f"SELECT etype, count(*) AS n FROM {_LAST} WHERE starts_with(etype, 'report_') GROUP BY 1"))
 def merge_links(spark, sf):
-    return edges_by_kind(L.merge_links(*both(spark, sf)))
+    """Deciding link per pair, counted on groups."""
+    links, _ = L.merge_links(*both(spark, sf))
+    return L.link_counts(links)
+
+
+@query("g59_merge_links_pairs", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM {_LAST} GROUP BY 1"))
+def merge_link_pairs(spark, sf):
+    return edges_by_kind(L.merged_link_edges(*L.merge_links(*both(spark, sf))))
 
 
 @query("g50_merge_graphs", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM m_edges GROUP BY 1"))
@@ -124,4 +129,4 @@ def merge_nodes(spark, sf):
 @query("g59_merge_graphs_linked", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM m_linked GROUP BY 1"))
 def merge_graphs_linked(spark, sf):
     a, b = both(spark, sf)
-    return edges_by_kind(L.merge_graphs(a, b, L.merge_links(a, b, "parity")).edges)
+    return edges_by_kind(L.merge_graphs(a, b, L.merged_link_edges(*L.merge_links(a, b, "parity"))).edges)
