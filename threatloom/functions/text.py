@@ -14,8 +14,12 @@ TIME_PATTERN = r"(20\d{2}[-/\.]\d{1,2}[-/\.]\d{1,2}(?:[ T]\d{1,2}:\d{2}:\d{2})?)
 ALERT_FILE_PATTERN = r"\b/[\w/.-]+\b"
 ABSOLUTE_PATH_PATTERN = r"(?:^|[^\w/.-])(/\.?\w(?:[\w/.-]*\w)?)"
 
-TIME_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d"]
-ALERT_TIME_FORMAT = "yyyy-M-d'T'H:m:s.SSSSSS'Z'"
+# Accepted time formats, each with the shape that makes a parse worth trying.
+TIME_FORMATS = [
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+]
+ALERT_TIME_FORMAT = (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}Z$", "yyyy-M-d'T'H:m:s.SSSSSS'Z'")
 
 
 def _col(c) -> Column:
@@ -69,9 +73,12 @@ def extract_entities(df: DataFrame, text="text") -> DataFrame:
 
 
 def parse_ts(c, mode="report") -> Column:
-    """Wall-clock time of a string, null when no format fits; alerts know one format more."""
+    """Wall-clock time of a string, null when no format fits; alerts know one format more.
+
+    A failed parse costs an exception inside the JVM, so the shape is matched first.
+    """
     formats = TIME_FORMATS + ([ALERT_TIME_FORMAT] if mode == "alert" else [])
-    tries = [F.try_to_timestamp(_col(c), F.lit(f)) for f in formats]
+    tries = [F.when(_col(c).rlike(shape), F.try_to_timestamp(_col(c), F.lit(f))) for shape, f in formats]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.text import day_key, parse_ts
 from threatloom.operators.graph import Graph
-from threatloom.operators.pairs import blocked_join
+from threatloom.operators.pairs import BLOCK_ROWS, blocked_join
 from threatloom.operators.writes import dedup_edges, dedup_nodes, edge_writes, node_writes, place
 from threatloom.vocab import ALL_KINDS, BASIC_KINDS, BASIC_PAIR_EDGES, ENTITY_FIELDS, PAIR_EDGES, REPORT_EDGE
 
@@ -61,12 +61,13 @@ def stage_time_edges(ment: DataFrame, times: DataFrame) -> DataFrame:
     return edge_writes(stages.join(times, "report_idx"), "value", "day", "report_idx", "timestamp_of_attack_stage")
 
 
-def cooccur(distinct: DataFrame, pairs=PAIR_EDGES) -> DataFrame:
+def cooccur(distinct: DataFrame, pairs=PAIR_EDGES, listed: DataFrame = None) -> DataFrame:
     """Edge writes between entities of one report for all (source, target, edge) kinds at once.
 
     Every source row is tagged with the edges its kind can start, so a single equi-join on
-    (report, target kind) covers all edge kinds; reports with very many entities are cut
-    into blocks by the join.
+    (report, target kind) covers all edge kinds. If any report names very many entities, the
+    join cuts such reports into blocks; ``listed`` may hand in the raw mentions to find out
+    without computing the distinct ones twice.
     """
     steps = {}
     for src_kind, dst_kind, name in pairs:
@@ -78,7 +79,12 @@ def cooccur(distinct: DataFrame, pairs=PAIR_EDGES) -> DataFrame:
     )
     left = left.select("report_idx", F.col("s.kind").alias("kind"), "src", F.col("s.place").alias("place"))
     right = distinct.where(F.col("kind").isin(*targets)).select("report_idx", "kind", F.col("value").alias("dst"))
-    paired = blocked_join(left, right, ["report_idx", "kind"], ["src", "place"], "dst")
+    most = max(len(s) for s in steps.values())
+    sizes = (distinct if listed is None else listed).groupBy("report_idx").agg(F.count("*").alias("n"))
+    if sizes.where(F.col("n") * most > BLOCK_ROWS).isEmpty():
+        paired = left.join(right, ["report_idx", "kind"])
+    else:
+        paired = blocked_join(left, right, ["report_idx", "kind"], ["src", "place"], "dst")
     apart = (F.col("place") != place("ip_communicates_with_ip")) | (F.col("src") != F.col("dst"))
     return edge_writes(paired.where(apart), "src", "dst", "report_idx", F.col("place"), phase=1)
 
@@ -115,7 +121,7 @@ def report_writes(reports: DataFrame, ment: DataFrame, kinds=ALL_KINDS, mode="re
     nodes = nodes.unionByName(node_writes(listed, "value", "report_idx", F.col("kind"), "first_pos"))
 
     pairs = [p for p in (PAIR_EDGES if full else BASIC_PAIR_EDGES) if p[0] in kinds and p[1] in kinds]
-    parts = [report_edges(ment, kinds), report_time_edges(times), cooccur(distinct, pairs)]
+    parts = [report_edges(ment, kinds), report_time_edges(times), cooccur(distinct, pairs, ment)]
     if full:
         parts.append(stage_time_edges(ment, times))
         parts.append(chain(ment, distinct, "process", "process_creates_process"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.graph import Graph
+from threatloom.session import checkpointed
 
 MICROS_PER_DAY = 86_400_000_000
 REPORT_ENTITY_KINDS = ["ip", "domain", "hash", "file"]
@@ -94,16 +95,16 @@ def snapshot_graph(graph: Graph, n=5, scope="reports", include_last=True) -> Gra
     of the snapshot.
     """
     mode = "fractional" if scope == "reports" else "whole"
-    days = assign_snapshot(day_nodes(graph.nodes), n, mode, include_last)
+    days = checkpointed(assign_snapshot(day_nodes(graph.nodes), n, mode, include_last))
     times = graph.nodes.where(F.col("ntype") == "timestamp").select(F.col("key").alias("dst"))
     into = graph.edges.select("src", "dst", "etype").join(times, "dst", "left_semi")
     if scope == "reports":
-        members = snapshot_reports(graph.nodes, graph.edges, days)
+        members = checkpointed(snapshot_reports(graph.nodes, graph.edges, days))
         reports = graph.nodes.where(F.col("ntype") == "report").select(F.col("key").alias("src"))
         own = into.join(reports, "src", "left_semi").join(days.withColumnRenamed("day", "dst"), "dst")
         own = own.withColumn("etype", F.lit("timestamp_of_report"))
     else:
-        members = snapshot_all(graph.nodes, graph.edges, days)
+        members = checkpointed(snapshot_all(graph.nodes, graph.edges, days))
         dated = into.join(days.withColumnRenamed("day", "dst"), "dst").select("snapshot_id", "src").distinct()
         own = into.join(dated, "src")
     nodes = members.join(graph.nodes, "key")

@@ -6,11 +6,12 @@ from threatloom.functions.alerts import normalize_alerts
 from threatloom.functions.text import classify_stage
 from threatloom.operators import alert_graph as A
 from threatloom.operators.writes import dedup_nodes, edge_kind
-from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum, stage_graph
+from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum, stage, stage_graph
 
 
 def alert_rows(spark, sf):
-    return normalize_alerts(alerts(spark, sf))
+    """Normalized alerts as a stage table: the graph reads them several times, the text is scanned once."""
+    return stage(spark, sf, "alert_rows", lambda: normalize_alerts(alerts(spark, sf)))
 
 
 def alert_graph(spark, sf, mode="all"):
@@ -27,7 +28,7 @@ def classify(spark, sf):
     sql("SELECT alert_idx, alert, host, day, rule, process, port, usr AS \"user\", stage, array_to_string(list_distinct(ips), ',') AS ips, array_to_string(list_sort(list_distinct(files)), ',') AS files FROM a_rows"),
 )
 def normalized(spark, sf):
-    rows = alert_rows(spark, sf)
+    rows = normalize_alerts(alerts(spark, sf))
     return rows.withColumn("ips", F.array_join("ips", ",")).withColumn("files", F.array_join(F.sort_array("files"), ","))
 
 

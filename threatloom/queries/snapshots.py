@@ -10,7 +10,7 @@ from threatloom.queries.alerts import stored_alert_graph
 from threatloom.queries.base import checksum, query, sql, sql_checksum, stage_graph
 from threatloom.queries.graphs import stored_report_graph
 from threatloom.queries.links import _LINKED
-from threatloom.session import scratch_folder
+from threatloom.session import checkpointed, scratch_folder
 from threatloom.sources.tables import load_graph, save_graph, snapshot_count
 
 N = 5
@@ -96,7 +96,7 @@ def _per_kind(edges):
 @query("w04_induced_edges", snap_sql(f"SELECT snapshot_id, etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM rs_induced GROUP BY 1, 2"))
 def induced_edges(spark, sf):
     g = stored_report_graph(spark, sf)
-    members = S.snapshot_reports(g.nodes, g.edges, S.assign_snapshot(S.day_nodes(g.nodes), N))
+    members = checkpointed(S.snapshot_reports(g.nodes, g.edges, S.assign_snapshot(S.day_nodes(g.nodes), N)))
     return _per_kind(S.induced_edges(members, g.nodes, g.edges))
 
 

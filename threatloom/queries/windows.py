@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threatloom.operators import features as X
 from threatloom.operators import sampling as P
 from threatloom.operators import windows as Wn
-from threatloom.queries.base import VIEWS, checksum, query, sql, sql_checksum, table
+from threatloom.queries.base import checksum, query, sql, sql_checksum, stage, table
 from threatloom.queries.graphs import stored_report_graph
 from threatloom.queries.snapshots import merged_graph
 from threatloom.sources.tables import read_embeddings
@@ -58,10 +58,6 @@ def features(spark, sf):
     return of("author").unionByName(of("paper"))
 
 
-def _n(spark, sf):
-    return items(spark, sf).agg((F.max("s") + 1).alias("n")).first()["n"]
-
-
 @query("w06_sliding_windows", win_sql(f"SELECT idx, t, count(*) AS n, {sql_checksum('src', 'dst')} FROM p_win GROUP BY 1, 2"))
 def sliding_windows(spark, sf):
     windowed = Wn.sliding_windows(writes(spark, sf), WINDOW)
@@ -163,7 +159,7 @@ def read_embeddings_query(spark, sf):
 
 
 def pairs(spark, sf):
-    return P.project_pairs(writes(spark, sf), "src", "dst")
+    return stage(spark, sf, "author_pairs", lambda: P.project_pairs(writes(spark, sf), "src", "dst"))
 
 
 def authors(spark, sf):
@@ -172,7 +168,8 @@ def authors(spark, sf):
 
 @query("l01_project_pairs", win_sql(f"SELECT s, count(*) AS n_pairs, sum(n)::BIGINT AS shared, {sql_checksum('src', 'dst', 'n')} FROM p_pairs GROUP BY 1"))
 def project_pairs(spark, sf):
-    return pairs(spark, sf).groupBy("s").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("shared"), checksum("src", "dst", "n"))
+    rows = P.project_pairs(writes(spark, sf), "src", "dst")
+    return rows.groupBy("s").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("shared"), checksum("src", "dst", "n"))
 
 
 @query("l02_new_pairs", win_sql(f"SELECT s, count(*) AS n, {sql_checksum('src', 'dst')} FROM p_new GROUP BY 1"))
