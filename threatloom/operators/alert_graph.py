@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 
 from threatloom.operators.graph import Graph
 from threatloom.operators.writes import PLACES, dedup_edges, dedup_nodes, edge_ord, edge_writes, node_kind, node_ord, place
+from threatloom.session import checkpointed
 from threatloom.vocab import STAGE_ORDER, UNKNOWN_STAGE_ORDER
 
 GATED = {"process": "process", "port": "port", "user": "user", "attack_stage": "stage"}
@@ -37,17 +38,21 @@ def alert_node_writes(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(writes).alias("w")).select("w.key", "w.ord", "w.pos").where("key is not null")
 
 
-def gate(rows: DataFrame, mode="all") -> DataFrame:
+def gate(rows: DataFrame, mode="all", nodes: DataFrame = None) -> DataFrame:
     """Mark which of an alert's process, port, user and stage may write edges.
 
     ``all``: every one present. ``first_seen``: only where this alert is the first to write
     that key, and no other kind of node wrote it before. The first write of a key names its
     alert, so the marks come back by a join on the alert number, which no hot key can skew.
+    ``nodes`` may hand in the finished nodes, whose ``ord`` is that first write.
     """
     marks = {f"new_{col}": kind for kind, col in GATED.items()}
     if mode == "all":
         return rows.select("*", *[F.col(GATED[kind]).isNotNull().alias(m) for m, kind in marks.items()])
-    firsts = alert_node_writes(rows).groupBy("key").agg(F.min("ord").alias("ord"))
+    if nodes is None:
+        firsts = alert_node_writes(rows).groupBy("key").agg(F.min("ord").alias("ord"))
+    else:
+        firsts = nodes.select("key", "ord")
     kind = node_kind("ord")
     firsts = firsts.where(kind.isin(*GATED)).select(F.shiftright("ord", PLACES.bit_length() - 1).alias("alert_idx"), kind.alias("kind"))
     flags = firsts.groupBy("alert_idx").agg(*[F.bool_or(F.col("kind") == k).alias(m) for m, k in marks.items()])
@@ -119,6 +124,6 @@ def stage_chain(nodes: DataFrame) -> DataFrame:
 
 def build_alert_graph(rows: DataFrame, mode="all") -> Graph:
     """Whole alert graph from normalized rows; ``mode`` is the first-seen gate's."""
-    nodes = dedup_nodes(alert_node_writes(rows))
-    edges = alert_edges(gate(rows, mode)).unionByName(stage_chain(nodes))
+    nodes = checkpointed(dedup_nodes(alert_node_writes(rows)))
+    edges = alert_edges(gate(rows, mode, nodes)).unionByName(stage_chain(nodes))
     return Graph(nodes, dedup_edges(edges))

@@ -9,6 +9,11 @@ BLOCK_ROWS = 8192
 BROADCAST_KEYS = 200_000
 
 
+def broadcast_if_small(df: DataFrame, rows=BROADCAST_KEYS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(left: DataFrame, right: DataFrame, on, block_rows=BLOCK_ROWS) -> DataFrame:
     """Keys present on both sides with more than ``block_rows`` rows on one, and their block counts."""
     sides = left.select(*on, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.graph import Graph
+from threatloom.operators.pairs import broadcast_if_small
 from threatloom.session import checkpointed
 
 MICROS_PER_DAY = 86_400_000_000
@@ -53,17 +54,17 @@ def snapshot_reports(nodes: DataFrame, edges: DataFrame, days: DataFrame) -> Dat
     """Members (snapshot_id, key): the days, their reports, and the reports' addresses, domains, hashes and files."""
     reports = nodes.where(F.col("ntype") == "report").select(F.col("key").alias("src"))
     into = edges.select("src", F.col("dst").alias("day")).join(days, "day").join(reports, "src", "left_semi")
-    dated = into.select("snapshot_id", F.col("src")).distinct()
-    entities = nodes.where(F.col("ntype").isin(*REPORT_ENTITY_KINDS)).select(F.col("key").alias("dst"))
-    named = edges.select("src", "dst").join(dated, "src").join(entities, "dst", "left_semi")
+    dated = checkpointed(into.select("snapshot_id", F.col("src")).distinct())
+    entities = broadcast_if_small(nodes.where(F.col("ntype").isin(*REPORT_ENTITY_KINDS)).select(F.col("key").alias("dst")))
+    named = edges.select("src", "dst").join(broadcast_if_small(dated), "src").join(entities, "dst", "left_semi")
     return _members(days, dated, named)
 
 
 def snapshot_all(nodes: DataFrame, edges: DataFrame, days: DataFrame) -> DataFrame:
     """Members: the days, every node pointing at one, and everything those nodes point at."""
     into = edges.select("src", F.col("dst").alias("day")).join(days, "day")
-    dated = into.select("snapshot_id", "src").distinct()
-    return _members(days, dated, edges.select("src", "dst").join(dated, "src"))
+    dated = checkpointed(into.select("snapshot_id", "src").distinct())
+    return _members(days, dated, edges.select("src", "dst").join(broadcast_if_small(dated), "src"))
 
 
 def _members(days, dated, named):
@@ -78,10 +79,10 @@ def induced_edges(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     The snapshots of a node travel as one short list per key, so the edges pass each join
     once and are copied per snapshot only at the end.
     """
-    listed = members.groupBy("key").agg(F.collect_set("snapshot_id").alias("s"))
+    listed = broadcast_if_small(members.groupBy("key").agg(F.collect_set("snapshot_id").alias("s")))
     kinds = nodes.where(F.col("ntype") != "timestamp").select("key")
     src = listed.select(F.col("key").alias("src"), F.col("s").alias("src_s"))
-    dst = listed.join(kinds, "key", "left_semi").select(F.col("key").alias("dst"), F.col("s").alias("dst_s"))
+    dst = broadcast_if_small(listed.join(kinds, "key", "left_semi")).select(F.col("key").alias("dst"), F.col("s").alias("dst_s"))
     both = edges.select("src", "dst", "etype").join(src, "src").join(dst, "dst")
     return both.select(F.explode(F.array_intersect("src_s", "dst_s")).alias("snapshot_id"), "src", "dst", "etype")
 

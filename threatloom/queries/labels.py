@@ -51,7 +51,7 @@ def bce_logits(spark, sf):
 
 @query(
     "l08_roc_auc",
-    sql(f"SELECT grp, day, round(sum(q * (cp - p + p / 2.0::DOUBLE)) / (sum(p) * sum(q)), {R}) AS auc FROM run GROUP BY 1, 2", **_RANK),
+    sql(f"SELECT grp, day, round(sum(q * (cp - p + p / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0), {R}) AS auc FROM run GROUP BY 1, 2", **_RANK),
 )
 def roc_auc(spark, sf):
     return _round(M.roc_auc(_ranked(spark, sf), ["grp", "day"]), "auc")
@@ -69,7 +69,7 @@ def roc_auc_total(spark, sf):
     return _round(M.roc_auc(_scores(spark, sf)), "auc")
 
 
-@query("l09_average_precision", sql(f"SELECT grp, day, round(sum(p * cp / (cp + cq)) / sum(p), {R}) AS ap FROM run GROUP BY 1, 2", **_RANK))
+@query("l09_average_precision", sql(f"SELECT grp, day, round(sum(p * cp / (cp + cq)) / nullif(sum(p), 0), {R}) AS ap FROM run GROUP BY 1, 2", **_RANK))
 def average_precision(spark, sf):
     return _round(M.average_precision(_ranked(spark, sf), ["grp", "day"]), "ap")
 
@@ -77,8 +77,8 @@ def average_precision(spark, sf):
 @query(
     "l10_pr_auc",
     sql(
-        f"""SELECT grp, day, round(sum((r - coalesce(lr, 0)) * (pr + coalesce(lp, 1)) / 2), {R}) AS pr_auc FROM (SELECT *, lag(r) OVER w AS lr, lag(pr) OVER w AS lp FROM (
-SELECT grp, day, score, cp / (SUM(p) OVER (PARTITION BY grp, day)) AS r, cp / (cp + cq) AS pr FROM run) WINDOW w AS (PARTITION BY grp, day ORDER BY score DESC)) GROUP BY 1, 2""",
+        f"""SELECT grp, day, round(sum((r - CASE WHEN lr IS NULL THEN 0 ELSE lr END) * (pr + coalesce(lp, 1)) / 2), {R}) AS pr_auc FROM (SELECT *, lag(r) OVER w AS lr, lag(pr) OVER w AS lp FROM (
+SELECT grp, day, score, cp / nullif(SUM(p) OVER (PARTITION BY grp, day), 0) AS r, cp / (cp + cq) AS pr FROM run) WINDOW w AS (PARTITION BY grp, day ORDER BY score DESC)) GROUP BY 1, 2""",
         **_RANK,
     ),
 )
@@ -124,7 +124,7 @@ def cross_entropy(spark, sf):
 
 
 _SERIES = f"""SELECT 'link' AS task, grp AS type, m.metric, CAST(row_number() OVER (PARTITION BY grp, m.metric ORDER BY day) - 1 AS INTEGER) AS i, day AS snapshot, round(m.value, {R}) AS value FROM (
-SELECT grp, day, unnest([{{'metric': 'auc', 'value': sum(q * (cp - p + p / 2.0::DOUBLE)) / (sum(p) * sum(q))}}, {{'metric': 'ap', 'value': sum(p * cp / (cp + cq)) / sum(p)}}]) AS m FROM run GROUP BY 1, 2)"""
+SELECT grp, day, unnest([{{'metric': 'auc', 'value': sum(q * (cp - p + p / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0)}}, {{'metric': 'ap', 'value': sum(p * cp / (cp + cq)) / nullif(sum(p), 0)}}]) AS m FROM run GROUP BY 1, 2)"""
 
 
 def _metric_rows(spark, sf):
