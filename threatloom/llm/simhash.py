@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import LOWER, materialized, mixed, text_digest, text_rows, texts_of
+from threatloom.llm.common import LOWER, fresh, materialized, mixed, text_digest, text_rows, texts_of
 from threatloom.llm.components import components
 from threatloom.operators.pairs import broadcast_if_small
 
@@ -170,8 +170,9 @@ def link_fingerprints(points: DataFrame, radius: int, far=None, shard_rows=SHARD
     hot = materialized(hot.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees")))
     own = F.pmod(F.xxhash64("node", "fp"), F.coalesce("trees", F.lit(1))).cast("int")
     rows = rows.join(broadcast_if_small(hot), "key", "left").select("key", "node", "fp", *sketch, own.alias("own"))
-    # a fingerprint is searched in the trees below its own, so each two trees meet once
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own"))).withColumn("guest", F.col("own") != F.col("tree")).drop("own")
+    # a fingerprint is searched in the trees below its own, so each two trees meet once; guests come last
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own")))
+    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("guest"), "node", "fp", *sketch)
     kind = points.schema["node"].dataType
 
     def run(batches):
@@ -220,10 +221,9 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, ra
     made = materialized(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = made.groupBy("fp").agg(F.min("id").alias("first"))
     found = components(link_fingerprints(distinct.select(F.col("fp").alias("node"), "fp"), radius, shard_rows=shard_rows))
-    grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.where("component <> fp").groupBy("component").agg(F.min("first").alias("low"))
-    # only a linked fingerprint can have a smaller id elsewhere
-    of_root = grouped.join(smallest, "component", "left").select("fp", F.least("first", "low").alias("component_id"))
+    linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
+    low = linked.join(linked.groupBy("component").agg(F.min("first").alias("low")), "component").select("fp", "low")
+    of_root = distinct.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
     return made.join(of_root, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -249,7 +249,7 @@ def word_and_run_hashes(text: bytes) -> tuple:
     return np.fromiter(known.values(), np.uint64, len(known)), np.unique(runs)
 
 
-def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, radius=4, prints=4, shard_rows=SHARD_ROWS) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, radius=4, prints=5, shard_rows=SHARD_ROWS) -> DataFrame:
     """(digest, id, n, component): one row for each distinct text, with its near-duplicate group.
 
     Candidates are texts of which one of ``prints`` fingerprints of their word sets is within
@@ -272,24 +272,25 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
 
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", kind), T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
-    # Spark's null ordering puts null ids first; a null id is taken only if a text has no other
     made = materialized(rows.mapInArrow(run, schema))
     texts = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
-    points = texts.select(F.col("digest").alias("node"), F.explode("fps").alias("fp"), "sketch")
+    texts = materialized(texts.withColumn("node", F.monotonically_increasing_id()))  # a short name for each text
+    points = texts.select("node", F.explode("fps").alias("fp"), "sketch")
     found = components(link_fingerprints(points, radius, sketch_limit(similarity), shard_rows))
-    counts = made.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.join(counts.groupBy("digest").agg(F.min("id").alias("low")), "digest").where(F.col("id").eqNullSafe(F.col("low"))).drop("low")
-    return first.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "id", "n", F.coalesce("component", "digest").alias("component"))
+    rows_of = made.groupBy("digest", F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    first = texts.join(rows_of, "digest").where(F.col("id").eqNullSafe(F.col("_id")))
+    return first.join(found, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest id (a null id only if there is no other)."""
     texts = materialized(similar_texts(docs, id_col, text_col, similarity, **options))
     best = texts.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("w"))
-    best = best.select(F.col("w.digest").alias("_digest"), F.col("w.id").alias("_id"), F.col("w.n").alias("_n"))
-    marked = docs.withColumn("_digest", F.unhex(text_digest(docs[text_col])))
-    kept = marked.join(best.withColumnRenamed("_digest", "_best"), (F.col("_digest") == F.col("_best")) & docs[id_col].eqNullSafe(F.col("_id")))
-    single = kept.where("_n = 1").select(*docs.columns)
+    digest, own, low, rows = fresh(docs, "digest", "own_digest", "low_id", "rows")
+    best = best.select(F.col("w.digest").alias(digest), F.col("w.id").alias(low), F.col("w.n").alias(rows))
+    marked = docs.withColumn(own, F.unhex(text_digest(docs[text_col])))
+    kept = marked.join(best, (F.col(own) == F.col(digest)) & marked[id_col].eqNullSafe(F.col(low)))
+    single = kept.where(F.col(rows) == 1).select(*docs.columns)
     # the same text with the same id in several rows: one of them
-    several = kept.where("_n > 1").dropDuplicates(["_digest"]).select(*docs.columns)
+    several = kept.where(F.col(rows) > 1).dropDuplicates([own]).select(*docs.columns)
     return single.unionByName(several)
