@@ -192,29 +192,49 @@ def weigh(nodes: list) -> None:
 
 
 def content(nodes: list) -> list:
-    """Roots of the content subtrees, in page order."""
+    """Roots of the content subtrees, in page order.
+
+    If the best node lies in an ``article`` or ``main`` element, the outermost of these is the content.
+    """
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    branch, live = {id(body): body}, []  # node -> child of the body that it lies in
+    within, live = {id(body)}, []
     for n in nodes:
-        if n is not body and n.parent is not None and id(n.parent) in branch:
-            branch[id(n)] = n if n.parent is body else branch[id(n.parent)]
-        if id(n) in branch and not n.out and n.chars and n.tag not in INLINE:
-            live.append(n)
+        if n is body or id(n.parent) in within and not n.out:
+            within.add(id(n))
+            if n.chars and n.tag not in INLINE:
+                live.append(n)
     if not live:
         return []
     best = max(live, key=lambda n: n.sum)
-    if best is body:
-        return [body]
-    threshold, up = best.density, best
+    threshold, marked, up = best.density, None, best
     while up is not body:
+        marked = up if up.tag in ("article", "main") else marked
         up = up.parent
         threshold = min(threshold, up.density)
-    top = {}  # the best subtree of each branch
-    for n in live:
-        own = branch[id(n)]
-        if own is not body and (id(own) not in top or n.sum > top[id(own)].sum):
-            top[id(own)] = n
-    return [top[id(own)] for own in body.children if id(own) in top and own.density >= threshold]
+    if best is body or marked is not None:
+        return [marked or body]
+    below = {}  # the largest sum in each subtree
+    for n in reversed(live):
+        for node in (n, n.parent):
+            known, own = below.get(id(node)), below.get(id(n), n)
+            if node is not None and (known is None or own.sum >= known.sum):
+                below[id(node)] = own if node is not n or n.sum < own.sum else n
+    found, reached = set(), {id(body)}
+    for n in nodes:
+        if id(n) in within and (n is body or id(n.parent) in reached):
+            if n.tag in INLINE:
+                reached.add(id(n))
+            elif n.chars and n.density >= threshold:
+                reached.add(id(n))
+                found.add(id(below[id(n)]))
+    roots, inside = [], set()
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        elif id(n) in found:
+            roots.append(n)
+            inside.add(id(n))
+    return roots
 
 
 def blocks_of(root: Node) -> list:
