@@ -31,6 +31,16 @@ def text_rows(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list:
+    """The names with underscores in front, as many as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def text_digest(text: Column) -> Column:
     """MD5 of a text; a null text has that of an empty one."""
     return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import alnum_words, materialized, mixed, text_digest, text_rows, texts_of
+from threatloom.llm.common import alnum_words, fresh, materialized, mixed, text_digest, text_rows, texts_of
 from threatloom.operators.pairs import broadcast_if_small
 
 # Bits of the table of wanted shingles: 2 MB, a proven size for any benchmark.
@@ -213,5 +213,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
 def without_contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item. Only the text decides, so it is the key."""
     found = find_contamination(docs, items, id_col, text_col, item_col, item_text_col, **options)
-    bad = materialized(found.where(F.col("spans").isNotNull()).select(F.col("digest").alias("_digest")).distinct())
-    return docs.join(broadcast_if_small(bad), text_digest(docs[text_col]) == F.col("_digest"), "left_anti")
+    (name,) = fresh(docs, "digest")
+    bad = materialized(found.where(F.col("spans").isNotNull()).select(F.col("digest").alias(name)).distinct())
+    return docs.join(broadcast_if_small(bad), text_digest(docs[text_col]) == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import LOWER, materialized, spaced_words, text_digest, text_rows, texts_of
+from threatloom.llm.common import LOWER, fresh, materialized, spaced_words, text_digest, text_rows, texts_of
 from threatloom.operators.pairs import broadcast_if_small
 
 # A line on more documents of a host than this many and this share of them is boilerplate.
@@ -141,10 +141,11 @@ def clean_documents(docs: DataFrame, id_col="doc_id", text_col="text", host_col=
     made = measured(docs, id_col, text_col, host_col)
     judged = with_verdict(made, boilerplate(made, least_docs, share), kept_words)
     # equal host and text have equal verdicts; rows without any effect need no join partner
-    touched = judged.where(~F.col("kept") | F.col("removed").isNotNull()).groupBy("host", "digest").agg(F.first("kept").alias("_kept"), F.first("removed").alias("_removed"))
-    touched = touched.select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "_kept", "_removed")
-    joined = docs.join(touched, (text_digest(docs[text_col]) == F.col("_digest")) & docs[host_col].cast("string").eqNullSafe(F.col("_host")), "left")
-    kept = joined.where(F.coalesce("_kept", F.lit(True))).select(*docs.columns, "_removed")
+    host, digest, keep, removed = fresh(docs, "host", "digest", "kept", "removed")
+    touched = judged.where(~F.col("kept") | F.col("removed").isNotNull()).groupBy(F.col("host").alias(host), F.col("digest").alias(digest))
+    touched = touched.agg(F.first("kept").alias(keep), F.first("removed").alias(removed))
+    joined = docs.join(touched, (text_digest(docs[text_col]) == F.col(digest)) & docs[host_col].cast("string").eqNullSafe(F.col(host)), "left")
+    kept = joined.where(F.coalesce(keep, F.lit(True))).select(*docs.columns, removed)
     names = docs.columns
 
     def run(batches):

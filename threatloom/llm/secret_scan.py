@@ -60,9 +60,11 @@ _NEXT = {
 }
 
 
-def _char_bits(c: str) -> float:
-    size = 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
-    return math.log2(size)
+def char_bits(value: str) -> list:
+    """Bits of brute force for each character: the size of its class, letters of both cases if both occur."""
+    letters = 52 if any(c.islower() for c in value) and any(c.isupper() for c in value) else 26
+    size = lambda c: 10 if c.isdigit() else letters if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
+    return [math.log2(size(c)) for c in value]
 
 
 def guess_segments(value: str) -> list:
@@ -70,7 +72,7 @@ def guess_segments(value: str) -> list:
 
     Runs are listed as longest ones only, so their number grows with the value's length.
     """
-    low = value.lower()
+    low, each = value.lower(), char_bits(value)
     plain, found = low.translate(LEET), []
     n = len(low) if len(low) == len(value) else 0
     for i in range(n):
@@ -85,18 +87,18 @@ def guess_segments(value: str) -> list:
                 found.append((i, j, math.log2(rank) + shaped))
     found += [(m.start(), m.end(), math.log2(365 * 120) + (m.end() - m.start() > 8) * 2) for m in DATE.finditer(value)]
     for same, least, cost in (
-        (lambda i: value[i] == value[i - 1], 3, lambda c, size: _char_bits(c) + math.log2(size)),
-        (lambda i: (low[i - 1], low[i]) in _NEXT, 4, lambda c, size: math.log2(47) + size * 1.3),
-        (lambda i: abs(ord(low[i]) - ord(low[i - 1])) == 1, 3, lambda c, size: math.log2(26) + math.log2(size) + 1),
+        (lambda i: value[i] == value[i - 1], 3, lambda i, size: each[i] + math.log2(size)),
+        (lambda i: (low[i - 1], low[i]) in _NEXT, 4, lambda i, size: math.log2(47) + size * 1.3),
+        (lambda i: abs(ord(low[i]) - ord(low[i - 1])) == 1, 3, lambda i, size: math.log2(26) + math.log2(size) + 1),
     ):
         begin = 0
         for i in range(1, n + 1):
             if i == n or not same(i):
                 if i - begin >= least:
-                    found.append((begin, i, cost(value[begin], i - begin)))
+                    found.append((begin, i, cost(begin, i - begin)))
                 begin = i
     for m in re.finditer(r"(.{2,32}?)\1+", value):
-        found.append((m.start(), m.end(), sum(map(_char_bits, m[1])) + math.log2((m.end() - m.start()) / len(m[1]))))
+        found.append((m.start(), m.end(), sum(each[m.start() : m.end(1)]) + math.log2((m.end() - m.start()) / len(m[1]))))
     return found
 
 
@@ -109,8 +111,8 @@ def guess_bits(value: str) -> float:
     for i, j, bits in guess_segments(value):
         ends.setdefault(j, []).append((i, bits))
     best = [0.0]
-    for j in range(1, len(value) + 1):
-        cost = best[j - 1] + _char_bits(value[j - 1])
+    for j, own in enumerate(char_bits(value), 1):
+        cost = best[j - 1] + own
         for i, bits in ends.get(j, ()):
             cost = min(cost, best[i] + bits + 1.0)
         best.append(cost)
