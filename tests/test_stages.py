@@ -10,11 +10,15 @@ def test_all_stages_and_resume(spark, tmp_path):
     lines += [f"h{i % 2},2024-01-{i:02d}T00:00:00.000Z,5,port scan,sshd,22,root,from 10.0.0.{i % 4} /srv/www/f1" for i in range(1, 12)]
     csv.write_text("\n".join(lines) + "\n")
     base = str(tmp_path / "run")
-    options = {"extract": {"reports": str(texts)}, "alert_graph": {"alerts": str(csv), "gate": "first_seen"}}
+    options = {"extract": {"reports": str(texts)}, "alert_graph": {"alerts": str(csv), "gate": "first_seen"}, "merge": {"pairs": True}}
     first = {(r["part"], r["kind"]): r["n"] for r in run_stages(spark, base, STAGES, options).collect()}
     assert first["nodes", "report"] == first["nodes", "alert"] == first["nodes", "timestamp"] == 11
     assert first["edges", "report_related_to_alert_by_time"] == 11
     assert first["edges", "report_related_to_rule"] > 0
     assert sum(p == "snapshot" for p, _ in first) == 5
+    reports, partners = (spark.read.parquet(f"{base}/links_{side}") for side in ("reports", "partners"))
+    met = reports.join(partners, ["place", "at"]).select("src", "dst").distinct().count()
+    linked = sum(n for (part, kind), n in first.items() if part == "edges" and kind.startswith("report_related_to"))
+    assert met == linked > 11
     again = {(r["part"], r["kind"]): r["n"] for r in run_stages(spark, base, ()).collect()}
     assert again == first

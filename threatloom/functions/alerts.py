@@ -27,8 +27,10 @@ def _text(df, name):
 
 
 def _port(df, name):
-    number = _text(df, name).try_cast("double").cast("long")
-    return F.nullif(number, F.lit(0).cast("long"))
+    """A number without its fraction, null for zero; any other text (a service name) as it is."""
+    text = _text(df, name)
+    number = text.try_cast("double").try_cast("long")
+    return F.when(number.isNull(), text).otherwise(F.nullif(number, F.lit(0).cast("long")).cast("string"))
 
 
 def normalize_alerts(df: DataFrame, file_mode="intended", text_columns=None) -> DataFrame:
@@ -47,7 +49,7 @@ def normalize_alerts(df: DataFrame, file_mode="intended", text_columns=None) ->
         day_key(parse_ts(_text(df, "ts_raw"), "alert")).alias("day"),
         F.coalesce(_text(df, "rule_id"), F.concat(F.lit("rule_"), idx)).alias("rule"),
         F.coalesce(_text(df, "process_name"), _text(df, "process_executable")).alias("process"),
-        F.concat(F.lit("port_"), F.coalesce(_port(df, "destination_port"), _port(df, "source_port")).cast("string")).alias("port"),
+        F.concat(F.lit("port_"), F.coalesce(_port(df, "destination_port"), _port(df, "source_port"))).alias("port"),
         F.coalesce(_text(df, "user_name"), _text(df, "user_id")).alias("user"),
         classify_stage(_text(df, "description")).alias("stage"),
         F.array_distinct(F.regexp_extract_all(text, F.lit(IP_PATTERN), F.lit(0))).alias("ips"),

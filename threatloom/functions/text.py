@@ -3,16 +3,18 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatloom.functions.domains import filter_domains
+from threatloom.session import checkpointed
 from threatloom.vocab import STAGE_WORDS
 
-# Indicator patterns.
+# Indicator patterns. Letters and digits of any script are word characters in paths.
 IP_PATTERN = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 DOMAIN_PATTERN = r"\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}\b"
 HASH_PATTERN = r"\b[0-9a-fA-F]{32,64}\b"
-FILE_PATTERN = r"(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/])+[\w.-]+"
+FILE_PATTERN = r"(?:[A-Za-z]:)?[\\/](?:[\p{L}\p{N}_.-]+[\\/])+[\p{L}\p{N}_.-]+"
 TIME_PATTERN = r"(20\d{2}[-/\.]\d{1,2}[-/\.]\d{1,2}(?:[ T]\d{1,2}:\d{2}:\d{2})?)"
-ALERT_FILE_PATTERN = r"\b/[\w/.-]+\b"
-ABSOLUTE_PATH_PATTERN = r"(?:^|[^\w/.-])(/\.?\w(?:[\w/.-]*\w)?)"
+ALERT_FILE_PATTERN = r"\b/[\p{L}\p{N}_/.-]+\b"
+ABSOLUTE_PATH_PATTERN = r"(?:^|[^\p{L}\p{N}_/.-])(/\.?[\p{L}\p{N}_](?:[\p{L}\p{N}_/.-]*[\p{L}\p{N}_])?)"
 
 # Accepted time formats, each with the shape that makes a parse worth trying.
 TIME_FORMATS = [
@@ -60,8 +62,12 @@ def extract_alert_files(c, mode="intended") -> Column:
     return _find_all(c, ABSOLUTE_PATH_PATTERN, 1)
 
 
-def extract_entities(df: DataFrame, text="text") -> DataFrame:
-    """All five indicator lists of a text column in one projection."""
+def extract_entities(df: DataFrame, text="text", suffixes: DataFrame = None) -> DataFrame:
+    """All five indicator lists of a text column in one projection.
+
+    With ``suffixes`` (public suffix rules, see ``filter_domains``) the domain lists keep only names that end
+    in a known suffix. The distinct names are checked once and come back as one list a row.
+    """
     lists = F.struct(
         extract_ips(text).alias("ips"),
         extract_domains(text).alias("domains"),
@@ -69,7 +75,15 @@ def extract_entities(df: DataFrame, text="text") -> DataFrame:
         extract_files(text).alias("files"),
         extract_timestamps(text).alias("timestamps"),
     )
-    return df.select(*[c for c in df.columns if c != text], lists.alias("entities"))
+    found = df.select(*[c for c in df.columns if c != text], lists.alias("entities"))
+    if suffixes is None:
+        return found
+    found = checkpointed(found.withColumn("_at", F.monotonically_increasing_id()))
+    names = found.select("_at", F.posexplode("entities.domains").alias("_pos", "domain"))
+    known = filter_domains(names, suffixes).groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("_pos", "domain"))).alias("_d"))
+    kept = F.coalesce(F.transform("_d", lambda d: d["domain"]), F.array().cast("array<string>"))
+    joined = found.join(known, "_at", "left")
+    return joined.select(*[c for c in found.columns if c not in ("_at", "entities")], F.col("entities").withField("domains", kept).alias("entities"))
 
 
 def parse_ts(c, mode="report") -> Column:

@@ -150,6 +150,36 @@ def links_per_source(links: Links) -> DataFrame:
     return links.src_members.join(totals, "group").select(F.col("key").alias("src"), "n")
 
 
+def partner_counts(a: Graph, b: Graph, kind: LinkKind) -> DataFrame:
+    """Number of linked partners of every report for a kind of which a partner has one key at most.
+
+    An alert has one day, one process and one stage, so no partner is met twice: partners are counted
+    by key and added up over the report's matched keys, without groups or pairs.
+    """
+    into = lambda g, etypes: g.edges.where(F.col("etype").isin(*etypes)).select("src", F.col("dst").alias("at")).distinct()
+    sizes = into(b, kind.alert_edges).groupBy(F.col("at").alias("b_key")).agg(F.count("*").alias("n"))
+    reach = _matches(a, b, kind).join(sizes, "b_key").select(F.col("a_key").alias("at"), "b_key", "n")
+    met = into(a, kind.report_edges).join(reach, "at")
+    if kind.contained:  # several keys of a report may lead to one key of the other side
+        met = met.select("src", "b_key", "n").distinct()
+    return met.groupBy("src").agg(F.sum("n").alias("n"))
+
+
+def link_tables(a: Graph, b: Graph, mode="intended"):
+    """All links in factored form: (report, place, indicator) and (place, indicator, partner), both distinct.
+
+    A pair is linked by ``place`` if it meets in an indicator; the largest place of a pair decides. The
+    tables are as long as the graphs' edges, where single pairs would be a product.
+    """
+    kinds = [BY_IP, BY_FILE, BY_PROCESS] + ([BY_DAY, BY_STAGE] if mode == "intended" else [])
+    left, right = [], []
+    for k in kinds:
+        match = checkpointed(_matches(a, b, k))
+        left.append(_touches(a, k.report_edges, match, "a_key", k).join(match.withColumnRenamed("a_key", "at"), "at").select(F.col("key").alias("src"), "place", F.col("b_key").alias("at")))
+        right.append(_touches(b, k.alert_edges, match, "b_key", k).select("place", "at", F.col("key").alias("dst")))
+    return _union(left).distinct(), _union(right).distinct()
+
+
 def link_by_ip(a: Graph, b: Graph, alerts_only=False) -> Links:
     """Reports and the alerts (and hosts) that share an address."""
     return _link(a, b, [BY_IP._replace(alert_edges=["alert_involves_ip"]) if alerts_only else BY_IP])

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from threatloom.operators.joins import null_safe_join
+from threatloom.operators.pairs import broadcast_if_small
 from threatloom.session import checkpointed
 
 
@@ -13,7 +15,8 @@ def dense_index(df: DataFrame, order, partition=(), name="idx") -> DataFrame:
     The rows are range-partitioned by (partition, order) and written once, so even a key with
     most of the rows is spread over all tasks. Each written range knows its row positions;
     adding the number of rows in earlier ranges (one small row per range and key) makes the
-    numbers dense. ``order`` must be a total order for the result to be repeatable.
+    numbers dense. ``order`` must be a total order for the result to be repeatable. A null key is a
+    group like any other.
     """
     keys, order = list(partition), list(order)
     sorted_rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
@@ -23,7 +26,7 @@ def dense_index(df: DataFrame, order, partition=(), name="idx") -> DataFrame:
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
     ranges = ranges.select(*keys, "_range", shift.alias("_shift"))
-    joined = placed.withColumn("_range", range_no).join(ranges, [*keys, "_range"])
+    joined = null_safe_join(placed.withColumn("_range", range_no), broadcast_if_small(checkpointed(ranges)), [*keys, "_range"])
     return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
 
 
@@ -31,7 +34,7 @@ def take_per_group(df: DataFrame, order, counts: DataFrame, partition=(), size="
     """The first ``size`` rows of every group, where ``counts`` gives a size per group key."""
     ranked = dense_index(df, order, partition, "_rank")
     if partition:
-        sized = ranked.join(counts.select(*partition, size), list(partition))
+        sized = null_safe_join(ranked, counts.select(*partition, size), list(partition))
     else:
         sized = ranked.withColumn(size, counts.select(size).scalar())
     return sized.where(F.col("_rank") < F.col(size)).select(*df.columns)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threatloom.operators.pairs import blocked_join
 from threatloom.operators.ranking import dense_index, take_per_group
+from threatloom.session import checkpointed
 
 
 def project_pairs(edges: DataFrame, left: str, via: str, by=("s",)) -> DataFrame:
@@ -46,14 +47,14 @@ def negative_counts(pairs: DataFrame, nodes: DataFrame, column="s") -> DataFrame
 def negative_pairs(pairs: DataFrame, nodes: DataFrame, sizes: DataFrame, seed=0, column="s") -> DataFrame:
     """``size`` random pairs per snapshot that are linked neither now nor before; no self pairs.
 
-    ``nodes`` has one column ``key``. Pair number c of n·(n-1) stands for one ordered pair, so
-    candidates are hashed numbers, not a product. While linked pairs are few, most candidates
-    survive and a few rounds give enough. When they are at least a quarter of all numbers, counting
-    through every number costs no more than four times the linked pairs, and gives
-    the whole remainder. A snapshot with fewer free pairs than asked for yields all of them.
+    ``nodes`` has one column ``key``. Pair number c of n·(n-1) stands for one ordered pair. Each snapshot
+    has one fixed random order of these numbers (a keyed permutation), and its sample is the first
+    free ones in that order, so the same seed gives the same sample however many places are looked
+    at. Places are added until every snapshot has enough; one with fewer free pairs than
+    asked for yields all of them.
     """
     spark = nodes.sparkSession
-    ids = dense_index(nodes.select("key").distinct(), ["key"], (), "id").persist()
+    ids = checkpointed(dense_index(nodes.select("key").distinct(), ["key"], (), "id"))
     n = ids.count()
     linked = linked_now_or_before(pairs, column)
     end = lambda side: ids.select(F.col("key").alias(side), F.col("id").alias(f"{side}_id"))
@@ -66,28 +67,38 @@ def negative_pairs(pairs: DataFrame, nodes: DataFrame, sizes: DataFrame, seed=0,
     steps, space, lo = span["hi"] - span["lo"] + 1, n * (n - 1), span["lo"]
     sized = wanted.join(taken.groupBy(column).agg(F.count("*").alias("used")), column, "left")
     sized = sized.withColumn("goal", F.least("size", F.lit(space) - F.coalesce("used", F.lit(0))))
-    number = lambda rows: rows.select((F.lit(lo) + F.pmod("x", F.lit(steps))).alias(column), F.floor(F.col("x") / steps).cast("long").alias("c"))
-    m = 4 * span["top"] + 64
+    half = max(1, (space.bit_length() + 1) // 2)
+    places = 1 << 2 * half
+    m = min(places, 4 * span["top"] + 64)
     while True:
-        if 4 * taken.count() >= steps * space or m >= space:
-            drawn = number(spark.range(steps * space).withColumnRenamed("id", "x"))
-        else:
-            at = number(spark.range(steps * m).withColumnRenamed("id", "x"))
-            drawn = at.select(column, F.pmod(F.xxhash64("c", column, F.lit(seed)), F.lit(space)).alias("c")).distinct()
-            enough = drawn.join(taken, [column, "c"], "left_anti").groupBy(column).agg(F.count("*").alias("have"))
-            short = sized.join(enough, column, "left").where(F.coalesce("have", F.lit(0)) < F.col("goal"))
-            if not short.isEmpty():
-                m *= 4
-                continue
-        break
-    free = drawn.join(taken, [column, "c"], "left_anti").withColumn("_h", F.xxhash64("c", column, F.lit(seed + 1)))
-    picked = take_per_group(free, ["_h", "c"], wanted, [column]).select(column, "c")
+        at = spark.range(steps * m).select((F.lit(lo) + F.pmod("id", F.lit(steps))).alias(column), F.floor(F.col("id") / steps).cast("long").alias("i"))
+        drawn = at.select(column, "i", _permuted("i", half, column, seed).alias("c")).where(F.col("c") < space)
+        free = drawn.join(taken, [column, "c"], "left_anti")
+        if m == places:
+            break
+        short = sized.join(free.groupBy(column).agg(F.count("*").alias("have")), column, "left").where(F.coalesce("have", F.lit(0)) < F.col("goal"))
+        if short.isEmpty():
+            break
+        m = min(places, 4 * m)
+    picked = checkpointed(take_per_group(free, ["i"], wanted, [column]).select(column, "c"))
+    for cached in (taken, wanted):
+        cached.unpersist()
     src = F.floor(F.col("c") / (n - 1)).cast("long")
     rest = F.pmod("c", F.lit(n - 1))
     decoded = picked.select(column, src.alias("src_id"), (rest + (rest >= src).cast("long")).alias("dst_id"))
     return decoded.join(end("src"), "src_id").join(end("dst"), "dst_id").select(column, "src", "dst")
 
 
+def _permuted(place, half: int, *salts):
+    """Place number to another number of ``2 * half`` bits, one to one: four keyed rounds over its two halves."""
+    mask = F.lit((1 << half) - 1).cast("long")
+    left, right = F.shiftright(place, half), F.col(place).bitwiseAND(mask)
+    for i in range(4):
+        keyed = F.xxhash64(right, F.lit(i), *[F.col(x) if isinstance(x, str) else F.lit(x) for x in salts])
+        left, right = right, left.bitwiseXOR(keyed.bitwiseAND(mask))
+    return F.shiftleft(left, half).bitwiseOR(right)
+
+
 def sample_sizes(pairs: DataFrame, frac=0.1, column="s") -> DataFrame:
     return pairs.groupBy(column).agg(F.floor(F.count("*") * F.lit(frac)).cast("long").alias("size"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threatloom.operators.joins import null_safe_join
 from threatloom.operators.ranking import dense_index
 
 
@@ -89,4 +90,4 @@ def node_split(nodes: DataFrame, seed=0) -> DataFrame:
     sizes = nodes.groupBy("ntype").agg(F.count("*").alias("_n"))
     a, b = F.floor(F.col("_n") * F.lit(0.6)), F.floor(F.col("_n") * F.lit(0.2))
     split = F.when(F.col("_i") < a, "train").when(F.col("_i") < a + b, "val").otherwise("test")
-    return ranked.join(sizes, "ntype").withColumn("split", split).drop("_i", "_n")
+    return null_safe_join(ranked, sizes, ["ntype"]).withColumn("split", split).drop("_i", "_n")

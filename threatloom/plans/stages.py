@@ -26,10 +26,10 @@ from threatloom.sources.tables import load_graph, save_graph
 STAGES = ["extract", "report_graph", "alert_graph", "merge", "snapshots", "samples"]
 
 
-def extract(spark: SparkSession, base: str, reports: str):
-    """Text reports to entity lists."""
+def extract(spark: SparkSession, base: str, reports: str, suffixes: DataFrame = None):
+    """Text reports to entity lists; ``suffixes`` are the public suffixes that domains must end in."""
     texts = read_report_text(spark, reports).drop("path")
-    write_entities(extract_entities(texts), f"{base}/entities")
+    write_entities(extract_entities(texts, suffixes=suffixes), f"{base}/entities")
 
 
 def report_graph(spark: SparkSession, base: str, n_snapshots=5):
@@ -48,10 +48,13 @@ def alert_graph(spark: SparkSession, base: str, alerts: str, gate="all"):
     save_graph(A.build_alert_graph(spark.read.parquet(f"{base}/alert_rows"), gate), f"{base}/alert_graph")
 
 
-def merge(spark: SparkSession, base: str, links="intended"):
-    """Both graphs and their links to one graph; ``links=None`` leaves the links out."""
+def merge(spark: SparkSession, base: str, links="intended", pairs=False):
+    """Both graphs to one graph, and their links as two factored tables; with ``pairs`` also as single edges."""
     a, b = load_graph(spark, f"{base}/report_graph"), load_graph(spark, f"{base}/alert_graph")
-    edges = L.merged_link_edges(*L.merge_links(a, b, links)) if links else None
+    if links:
+        for side, table in zip(("reports", "partners"), L.link_tables(a, b, links)):
+            table.write.parquet(f"{base}/links_{side}")
+    edges = L.merged_link_edges(*L.merge_links(a, b, links)) if links and pairs else None
     save_graph(L.merge_graphs(a, b, edges), f"{base}/merged_graph")
 
 

@@ -6,7 +6,7 @@ from threatloom.functions.alerts import normalize_alerts
 from threatloom.functions.text import classify_stage
 from threatloom.operators import alert_graph as A
 from threatloom.operators.writes import dedup_nodes, edge_kind
-from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum, stage, stage_graph
+from threatloom.queries.base import alerts, checksum, query, sql, sql_checksum, stage, stage_graph, table
 
 
 def alert_rows(spark, sf):
@@ -32,6 +32,25 @@ def normalized(spark, sf):
     return rows.withColumn("ips", F.array_join("ips", ",")).withColumn("files", F.array_join(F.sort_array("files"), ","))
 
 
+@query(
+    "e14_port_and_user_fallbacks",
+    """SELECT event_id AS alert_idx, CASE event_id % 6 WHEN 0 THEN 'port_http' WHEN 1 THEN 'port_443' WHEN 2 THEN 'port_8080' WHEN 3 THEN 'port_NaN' WHEN 4 THEN 'port_1e30' END AS port,
+CASE WHEN event_id % 4 = 0 THEN 'u' || CAST(user_id AS VARCHAR) WHEN event_id % 4 < 3 THEN CAST(user_id AS VARCHAR) END AS "user" FROM events""",
+)
+def port_and_user_fallbacks(spark, sf):
+    """Ports as names, numbers and odd numbers, from the source where the destination has none; users by id."""
+    key, user = F.col("event_id"), F.col("user_id").cast("string")
+    port = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (key % 6).cast("int"))
+    rows = table(spark, sf, "events").select(
+        key.alias("alert_idx"),
+        port([" http ", "443.0", "0", "NaN", "1e30", ""]).alias("destination_port"),
+        port(["1", "2", "8080", "3", "4", "0"]).alias("source_port"),
+        F.when(key % 4 == 0, F.concat(F.lit("u"), user)).when(key % 4 == 1, "  ").alias("user_name"),
+        F.when(key % 4 < 3, user).alias("user_id"),
+    )
+    return normalize_alerts(rows).select("alert_idx", "port", "user")
+
+
 def stored_alert_graph(spark, sf, mode="first_seen"):
     """The alert graph as a stage table."""
     return stage_graph(spark, sf, f"alert_graph_{mode}", lambda: alert_graph(spark, sf, mode))

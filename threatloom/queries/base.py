@@ -212,7 +212,7 @@ coalesce(nullif(trim(agent_name), ''), 'host_' || CAST(alert_idx AS VARCHAR)) AS
 strftime(try_strptime(ts_raw, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%Y-%m-%dT%H:%M:%S.%fZ']), '%Y-%m-%d') AS day,
 coalesce(nullif(trim(rule_id), ''), 'rule_' || CAST(alert_idx AS VARCHAR)) AS rule,
 coalesce(nullif(trim(process_name), ''), nullif(trim(process_executable), '')) AS process,
-'port_' || CAST(nullif(TRY_CAST(destination_port AS BIGINT), 0) AS VARCHAR) AS port,
+'port_' || CASE WHEN TRY_CAST(destination_port AS BIGINT) IS NULL THEN nullif(trim(destination_port), '') ELSE CAST(nullif(TRY_CAST(destination_port AS BIGINT), 0) AS VARCHAR) END AS port,
 nullif(trim(user_name), '') AS usr,
 CASE WHEN regexp_matches(lower(description), 'reconnaissance|scan|discovery') THEN 'Reconnaissance'
      WHEN regexp_matches(lower(description), 'exploit|vulnerability|cve') THEN 'Exploitation'
@@ -220,7 +220,7 @@ CASE WHEN regexp_matches(lower(description), 'reconnaissance|scan|discovery') TH
      WHEN regexp_matches(lower(description), 'privilege|escalation|admin') THEN 'Privilege_Escalation'
      WHEN regexp_matches(lower(description), 'data|exfiltration|transfer') THEN 'Data_Exfiltration' END AS stage,
 regexp_extract_all(txt, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b') AS ips,
-regexp_extract_all(txt, '(?:^|[^\w/.-])(/\.?\w(?:[\w/.-]*\w)?)', 1) AS files
+regexp_extract_all(txt, '(?:^|[^\p{L}\p{N}_/.-])(/\.?[\p{L}\p{N}_](?:[\p{L}\p{N}_/.-]*[\p{L}\p{N}_])?)', 1) AS files
 FROM (SELECT *, concat_ws(' ', agent_name, ts_raw, rule_id, description, process_name, process_executable, destination_port, user_name, full_log) AS txt FROM v_alert)""",
     "a_ip": "SELECT *, unnest(ips) AS ip, generate_subscripts(ips, 1) AS j FROM a_rows",
     "a_file": "SELECT *, unnest(files) AS file, generate_subscripts(files, 1) AS j FROM a_rows",

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from threatloom.operators import links as L
 from threatloom.operators.containment import containment_pairs
+from threatloom.operators.writes import place
 from threatloom.queries.alerts import stored_alert_graph
 from threatloom.queries.base import checksum, query, sql, sql_checksum
 from threatloom.queries.graphs import edges_by_kind, stored_report_graph
 
-# DuckDB side of every link, over the first-seen alert graph.
+# DuckDB side of every link, over the first-seen alert graph; ``_ALL`` has the same over the whole one.
 _SHARED = "SELECT r.key, r.ntype FROM r_nodes r JOIN a_nodes a ON a.key = r.key AND a.ntype = r.ntype"
 _LINKED = {
     "l_shared": _SHARED,
@@ -45,60 +46,86 @@ UNION ALL SELECT src, dst, 'report_related_to_alert_by_attack_stage', 8 FROM l_s
 }
 
 
-def linked_sql(body):
-    return sql(body, **_LINKED)
+_ALL = {k: v.replace("a_edges_first", "a_edges_all") for k, v in _LINKED.items()}
+# An alert has one day, process and stage, so partners add up over keys; listing pairs would be a product.
+_ALL["c_stage"] = """SELECT r.src, sum(c.n)::BIGINT AS n FROM r_edges r JOIN l_shared s ON s.key = r.dst AND s.ntype = 'attack_stage'
+JOIN (SELECT dst, count(DISTINCT src) AS n FROM a_edges_all WHERE etype = 'alert_related_to_attack_stage' GROUP BY 1) c ON c.dst = r.dst WHERE r.etype = 'report_describes_attack_stage' GROUP BY 1"""
+_ALL["c_day"] = """SELECT r.src, sum(c.n)::BIGINT AS n FROM r_edges r JOIN l_shared s ON s.key = r.dst AND s.ntype = 'timestamp'
+JOIN (SELECT dst, count(DISTINCT src) AS n FROM a_edges_all WHERE etype = 'alert_at_timestamp' GROUP BY 1) c ON c.dst = r.dst WHERE r.etype = 'timestamp_of_report' GROUP BY 1"""
+_ALL["c_process"] = """SELECT src, sum(n)::BIGINT AS n FROM (SELECT DISTINCT r.src, m.b_key FROM r_edges r JOIN l_match m ON m.a_key = r.dst AND m.ntype = 'process' WHERE r.etype = 'report_contains_process')
+JOIN (SELECT dst, count(DISTINCT src) AS n FROM a_edges_all WHERE etype = 'alert_involves_process' GROUP BY 1) c ON c.dst = b_key GROUP BY 1"""
 
 
-def both(spark, sf):
-    """Report graph and first-seen alert graph."""
-    return stored_report_graph(spark, sf), stored_alert_graph(spark, sf, "first_seen")
+def linked_sql(body, ctes=None):
+    return sql(body, **(ctes or _LINKED))
 
 
-def _link(name, fn, rel):
-    """Two queries: partners per report counted on groups, and all pairs written out."""
+def both(spark, sf, mode="first_seen"):
+    """Report graph and alert graph, whole (``all``) or as first seen."""
+    return stored_report_graph(spark, sf), stored_alert_graph(spark, sf, mode)
 
-    @query(name, linked_sql(f"SELECT src, count(*) AS n FROM {rel} GROUP BY 1"))
+
+def _link(name, fn, rel, counted):
+    """Partners per report over the whole alert graph, counted without pairs; for the first-seen graph also all pairs."""
+    fn = fn if isinstance(fn, tuple) else (lambda a, b, f=fn: L.links_per_source(f(a, b)), fn)
+
+    @query(name, linked_sql(f"SELECT src, n FROM ({counted})", _ALL))
     def run(spark, sf):
-        return L.links_per_source(fn(*both(spark, sf)))
+        return fn[0](*both(spark, sf, "all"))
+
+    @query(f"{name}_first_seen", linked_sql(f"SELECT src, count(*) AS n FROM {rel} GROUP BY 1"))
+    def run_first(spark, sf):
+        return L.links_per_source(fn[1](*both(spark, sf)))
 
     @query(f"{name}_pairs", linked_sql(f"SELECT src, count(*) AS n, {sql_checksum('src', 'dst')} FROM {rel} GROUP BY 1"))
     def pairs(spark, sf):
-        return L.link_pairs(fn(*both(spark, sf))).groupBy("src").agg(F.count("*").alias("n"), checksum("src", "dst"))
+        return L.link_pairs(fn[1](*both(spark, sf))).groupBy("src").agg(F.count("*").alias("n"), checksum("src", "dst"))
 
 
 @query(
     "g51_shared_key_counts",
-    linked_sql("SELECT k.kind, count(s.key) AS n FROM (VALUES ('ip'), ('file'), ('timestamp'), ('process'), ('attack_stage')) k(kind) LEFT JOIN l_shared s ON s.ntype = k.kind GROUP BY 1"),
+    linked_sql("SELECT k.kind, count(s.key) AS n FROM (VALUES ('ip'), ('file'), ('timestamp'), ('process'), ('attack_stage')) k(kind) LEFT JOIN l_shared s ON s.ntype = k.kind GROUP BY 1", _ALL),
 )
 def shared_key_counts(spark, sf):
-    return L.shared_key_counts(*both(spark, sf))
+    return L.shared_key_counts(*both(spark, sf, "all"))
 
 
-_link("g52_link_by_ip", L.link_by_ip, "l_ip")
-_link("g53_link_by_file", L.link_by_file, "l_file")
-_link("g54_link_by_process", L.link_by_process, "l_process")
-_link("g55_link_by_day", L.link_by_day, "l_day")
-_link("g56_link_by_stage", L.link_by_stage, "l_stage")
+def _modes(name, body):
+    """One query over the whole alert graph and one over the first-seen graph."""
 
+    def register(fn):
+        for suffix, mode, ctes in (("", "all", _ALL), ("_first_seen", "first_seen", _LINKED)):
+            query(name + suffix, linked_sql(body, ctes))(lambda spark, sf, mode=mode: fn(*both(spark, sf, mode)))
+        return fn
 
-@query("g53_containment_pairs", linked_sql("SELECT a_key, b_key FROM l_match WHERE ntype = 'file'"))
-def containment(spark, sf):
-    a, b = both(spark, sf)
-    files = lambda g: g.nodes.where("ntype = 'file'").select("key")
-    return containment_pairs(files(a), files(b))
+    return register
 
 
-@query("g57_shared_stage", linked_sql("SELECT src, dst, 'ip' AS via FROM l_loop_ip UNION ALL SELECT src, dst, 'process' FROM l_loop_process"))
-def shared_stage(spark, sf):
-    from threatloom.operators.writes import place
+_link("g52_link_by_ip", L.link_by_ip, "l_ip", "SELECT src, count(*) AS n FROM l_ip GROUP BY 1")
+_link("g53_link_by_file", L.link_by_file, "l_file", "SELECT src, count(*) AS n FROM l_file GROUP BY 1")
+_counted = lambda kind: lambda a, b: L.partner_counts(a, b, kind)
+_link("g54_link_by_process", (_counted(L.BY_PROCESS), L.link_by_process), "l_process", "SELECT src, n FROM c_process")
+_link("g55_link_by_day", (_counted(L.BY_DAY), L.link_by_day), "l_day", "SELECT src, n FROM c_day")
+_link("g56_link_by_stage", (_counted(L.BY_STAGE), L.link_by_stage), "l_stage", "SELECT src, n FROM c_stage")
+
+
+@query("g53_containment_pairs", linked_sql("SELECT ntype, a_key, b_key FROM l_match", _ALL))
+def containment(spark, sf):
+    a, b = both(spark, sf, "all")
+    keys = lambda g, kind: g.nodes.where(F.col("ntype") == kind).select("key")
+    found = [containment_pairs(keys(a, k), keys(b, k)).select(F.lit(k).alias("ntype"), "a_key", "b_key") for k in ("file", "process")]
+    return found[0].unionByName(found[1])
+
 
-    links = L.shared_stage(*both(spark, sf))
+@_modes("g57_shared_stage", "SELECT src, dst, 'ip' AS via FROM l_loop_ip UNION ALL SELECT src, dst, 'process' FROM l_loop_process")
+def shared_stage(a, b):
+    links = L.shared_stage(a, b)
     return links.select("src", "dst", F.when(F.col("place") == place("shared_attack_stage:ip"), "ip").otherwise("process").alias("via"))
 
 
-@query("g58_stages_same_day", linked_sql("SELECT src, dst FROM l_same_day"))
-def stages_same_day(spark, sf):
-    return L.stages_same_day(*both(spark, sf)).select("src", "dst")
+@_modes("g58_stages_same_day", "SELECT src, dst FROM l_same_day")
+def stages_same_day(a, b):
+    return L.stages_same_day(a, b).select("src", "dst")
 
 
 _LAST = "(SELECT src, dst, arg_max(etype, o) AS etype FROM l_all GROUP BY 1, 2)"
@@ -116,14 +143,14 @@ def merge_link_pairs(spark, sf):
     return edges_by_kind(L.merged_link_edges(*L.merge_links(*both(spark, sf))))
 
 
-@query("g50_merge_graphs", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM m_edges GROUP BY 1"))
-def merge_graphs(spark, sf):
-    return edges_by_kind(L.merge_graphs(*both(spark, sf)).edges)
+@_modes("g50_merge_graphs", f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM m_edges GROUP BY 1")
+def merge_graphs(a, b):
+    return edges_by_kind(L.merge_graphs(a, b).edges)
 
 
-@query("g50_merge_nodes", linked_sql(f"SELECT ntype, count(*) AS n, {sql_checksum('key')} FROM m_nodes GROUP BY 1"))
+@query("g50_merge_nodes", linked_sql(f"SELECT ntype, count(*) AS n, {sql_checksum('key')} FROM m_nodes GROUP BY 1", _ALL))
 def merge_nodes(spark, sf):
-    return L.merge_graphs(*both(spark, sf)).nodes.groupBy("ntype").agg(F.count("*").alias("n"), checksum("key"))
+    return L.merge_graphs(*both(spark, sf, "all")).nodes.groupBy("ntype").agg(F.count("*").alias("n"), checksum("key"))
 
 
 @query("g59_merge_graphs_linked", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM m_linked GROUP BY 1"))

@@ -27,6 +27,15 @@ _extract("e02_extract_domains", T.extract_domains, DOMAIN)
 _extract("e03_extract_hashes", T.extract_hashes, HASH)
 _extract("e04_extract_files", T.extract_files, FILE)
 
+# Paths with letters beyond ASCII, put into every text.
+_PATHS = "C:\\Users\\Zoë\\tmp\\x.exe /opt/日本/bin/a "
+
+
+@query("e04_extract_files_any_script", sql(f"SELECT report_name, unnest(list_distinct(regexp_extract_all('{_PATHS}' || text, '{FILE}'))) AS value FROM v_doc_text"))
+def extract_files_any_script(spark, sf):
+    texts = doc_text(spark, sf).select("report_name", F.concat(F.lit(_PATHS), "text").alias("text"))
+    return texts.select("report_name", F.explode(T.extract_files("text")).alias("value"))
+
 
 @query(
     "e05_extract_timestamps",
@@ -64,8 +73,7 @@ array_to_string(list_slice(string_split(lower(domain), '.'), -2, -1), '.') AS tw
 def _domains(spark, sf, mode):
     found = doc_text(spark, sf).select("report_name", F.explode(T.extract_domains("text")).alias("domain"))
     listed = mention(spark, sf).where("kind = 'domain'").select("report_name", F.col("value").alias("domain"))
-    rules = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
-    return filter_domains(found.unionByName(listed).distinct(), rules, mode=mode).select("report_name", "domain")
+    return filter_domains(found.unionByName(listed).distinct(), suffix_rules(spark), mode=mode).select("report_name", "domain")
 
 
 @query("e06_filter_domains", _domain_sql("OR one IN (SELECT s FROM rules)"))
@@ -84,20 +92,32 @@ _LISTS = ", ".join(
 )
 
 
-@query("e07_extract_entities", sql(f"SELECT report_name, {_LISTS} FROM v_doc_text"))
+def suffix_rules(spark):
+    return spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+
+
+_KNOWN = "(list_extract(string_split(lower({0}), '.'), -1) IN ({1}) OR array_to_string(list_slice(string_split(lower({0}), '.'), -2, -1), '.') IN ({1}))".format("d", ", ".join(f"'{s}'" for s in SUFFIXES))
+_KNOWN_LISTS = _LISTS.replace(f"list_distinct(regexp_extract_all(text, '{DOMAIN}'))", f"list_filter(list_distinct(regexp_extract_all(text, '{DOMAIN}')), lambda d: {_KNOWN})")
+
+
+@query("e07_extract_entities", sql(f"SELECT report_name, {_KNOWN_LISTS} FROM v_doc_text"))
 def extract_entities(spark, sf):
-    rows = T.extract_entities(doc_text(spark, sf))
+    rows = T.extract_entities(doc_text(spark, sf), suffixes=suffix_rules(spark))
     lists = [F.to_json(F.sort_array(f"entities.{f}")).alias(f) for f in ["ips", "domains", "hashes", "files", "timestamps"]]
     return rows.select("report_name", *lists)
 
 
+_FIELDS = ["agent_name", "ts_raw", "rule_id", "description", "process_name", "process_executable", "destination_port", "user_name", "full_log"]
+
+
 def _alert_files(name, mode, pattern, group):
-    body = f"SELECT alert_idx, unnest(list_distinct(regexp_extract_all(full_log || ' ' || process_executable, '{pattern}', {group}))) AS file FROM v_alert"
+    body = f"SELECT alert_idx, unnest(list_distinct(regexp_extract_all(concat_ws(' ', {', '.join(_FIELDS)}, ' /opt/日本/bin/a'), '{pattern}', {group}))) AS file FROM v_alert"
 
     @query(name, sql(body))
     def run(spark, sf):
-        rows = alerts(spark, sf).select("alert_idx", F.concat("full_log", F.lit(" "), "process_executable").alias("text"))
-        return rows.select("alert_idx", F.explode(F.array_distinct(T.extract_alert_files("text", mode))).alias("file"))
+        rows = alerts(spark, sf)
+        text = F.concat_ws(" ", T.alert_text(rows, _FIELDS), F.lit(" /opt/日本/bin/a"))
+        return rows.select("alert_idx", F.explode(F.array_distinct(T.extract_alert_files(text, mode))).alias("file"))
 
 
 _alert_files("e08_extract_alert_files", "intended", T.ABSOLUTE_PATH_PATTERN, 1)
@@ -244,20 +264,21 @@ _chain("g16_stage_chain", "attack_stage", "attack_stage_follows")
     sql(
         f"""SELECT etype, count(*) AS n FROM (
 SELECT DISTINCT report_name, 'report_contains_ip' AS etype, unnest(regexp_extract_all(text, '{IP}')) AS v FROM v_doc_text
-UNION SELECT report_name, 'report_contains_domain', unnest(regexp_extract_all(text, '{DOMAIN}')) FROM v_doc_text
+UNION SELECT report_name, 'report_contains_domain', d FROM doms WHERE {_KNOWN}
 UNION SELECT report_name, 'report_contains_hash', unnest(regexp_extract_all(text, '{HASH}')) FROM v_doc_text
 UNION SELECT report_name, 'report_contains_file', unnest(regexp_extract_all(text, '{FILE}')) FROM v_doc_text) GROUP BY 1
 UNION ALL SELECT 'total', (SELECT count(*) FROM (
 SELECT DISTINCT report_name, 'i', unnest(regexp_extract_all(text, '{IP}')) AS v FROM v_doc_text
-UNION SELECT report_name, 'd', unnest(regexp_extract_all(text, '{DOMAIN}')) FROM v_doc_text
+UNION SELECT report_name, 'd', d FROM doms WHERE {_KNOWN}
 UNION SELECT report_name, 'h', unnest(regexp_extract_all(text, '{HASH}')) FROM v_doc_text
-UNION SELECT report_name, 'f', unnest(regexp_extract_all(text, '{FILE}')) FROM v_doc_text))"""
+UNION SELECT report_name, 'f', unnest(regexp_extract_all(text, '{FILE}')) FROM v_doc_text))""",
+        doms=f"SELECT DISTINCT report_name, unnest(regexp_extract_all(text, '{DOMAIN}')) AS d FROM v_doc_text",
     ),
 )
 def flagship(spark, sf):
     """Raw text to indicators to report edges, counted by type."""
     from threatloom.sources.entities import fill_entities
 
-    ment = R.mentions(fill_entities(T.extract_entities(doc_text(spark, sf))))
+    ment = R.mentions(fill_entities(T.extract_entities(doc_text(spark, sf), suffixes=suffix_rules(spark))))
     edges = R.report_edges(ment, ["ip", "domain", "hash", "file"]).select("src", "dst", edge_kind().alias("etype")).distinct()
     return edge_counts(edges)

@@ -9,7 +9,7 @@ from threatloom.operators.counts import snapshot_counts
 from threatloom.queries.alerts import stored_alert_graph
 from threatloom.queries.base import checksum, query, sql, sql_checksum, stage_graph
 from threatloom.queries.graphs import stored_report_graph
-from threatloom.queries.links import _LINKED
+from threatloom.queries.links import _ALL
 from threatloom.session import checkpointed, scratch_folder
 from threatloom.sources.tables import load_graph, save_graph, snapshot_count
 
@@ -47,7 +47,7 @@ JOIN {nodes} n ON n.key = e.dst AND n.ntype <> 'timestamp'"""
     return ctes
 
 
-_CTES = {**_LINKED, **_snap("rs", "r_nodes", "r_edges", "fractional"), **_snap("ms", "m_nodes", "m_edges", "whole")}
+_CTES = {**_ALL, **_snap("rs", "r_nodes", "r_edges", "fractional"), **_snap("ms", "m_nodes", "m_edges", "whole")}
 _CTES["r_ids"] = "SELECT key, ntype, row_number() OVER (PARTITION BY ntype ORDER BY o, key) - 1 AS local_id FROM r_nodes"
 _CTES["rs_ids"] = "SELECT snapshot_id, key, ntype, row_number() OVER (PARTITION BY snapshot_id, ntype ORDER BY o, key) - 1 AS local_id FROM rs_nodes"
 
@@ -58,7 +58,7 @@ def snap_sql(body):
 
 def merged_graph(spark, sf):
     """Merged graph without links, as a stage table."""
-    build = lambda: L.merge_graphs(stored_report_graph(spark, sf), stored_alert_graph(spark, sf))
+    build = lambda: L.merge_graphs(stored_report_graph(spark, sf), stored_alert_graph(spark, sf, "all"))
     return stage_graph(spark, sf, "merged_graph", build)
 
 

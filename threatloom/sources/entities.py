@@ -23,13 +23,28 @@ def fill_entities(df: DataFrame) -> DataFrame:
     return df.withColumn("entities", F.struct(*lists))
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
+def entity_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of every line that is no JSON object or names no report."""
+    schema = T.StructType([*ENTITY_SCHEMA.fields, T.StructField("_line", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.col("value").alias("line"), F.from_json("value", schema, {"columnNameOfCorruptRecord": "_line"}).alias("e"))
+    return parsed.where("e is null or e._line is not null or e.report_name is null").select("line")
+
+
+def read_entities(spark: SparkSession, path: str, on_bad="raise") -> DataFrame:
     """(report_idx, report_name, entities) with every list present.
 
     Lines of a distributed read have no number, so reports are numbered once in the order of
-    name and content.
+    name and content. A malformed line or one without a name is an error; with ``on_bad="drop"`` such
+    lines are left out, and ``entity_rejects`` lists them.
     """
-    rows = fill_entities(spark.read.schema(ENTITY_SCHEMA).json(path)).where("report_name is not null")
+    strict = on_bad == "raise"
+    rows = fill_entities(spark.read.schema(ENTITY_SCHEMA).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path))
+    if strict:
+        unnamed = F.raise_error(F.lit("an entity line names no report")).cast("string")
+        rows = rows.withColumn("report_name", F.coalesce("report_name", unnamed))
+    else:
+        rows = rows.where("report_name is not null")
     ordered = rows.withColumn("_text", F.to_json("entities"))
     return dense_index(ordered, ["report_name", "_text"], name="report_idx").select("report_idx", "report_name", "entities")
 
