@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from threatloom.queries import QUERIES  # noqa: E402
-from threatloom.queries import alerts, base, graphs, snapshots  # noqa: E402
+from threatloom.queries import alerts, base, graphs, snapshots, windows  # noqa: E402
 from threatloom.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -27,16 +27,23 @@ HEADLINE = [
     "a04_canonical_counts",
     "g50_merge_graphs",
     "g52_link_by_ip",
+    "g53_link_by_file",
     "g54_link_by_process",
     "g55_link_by_day",
+    "g56_link_by_stage",
+    "g59_merge_links",
     "w02_snapshot_reports",
+    "w03_snapshot_all",
     "w05_snapshots",
     "w09_window_features",
     "f01_local_ids",
     "f02_typed_edges",
     "f07_attend_neighbors",
+    "f15_propagate",
     "l01_project_pairs",
     "l02_new_pairs",
+    "l03_negative_pairs",
+    "l05_sample_edges",
     "l08_roc_auc_total",
     "l10_pr_auc",
 ]
@@ -47,6 +54,7 @@ STAGES = {
     "stage_alert_rows": alerts.alert_rows,
     "stage_alert_graph": alerts.stored_alert_graph,
     "stage_merged_graph": snapshots.merged_graph,
+    "stage_author_pairs": windows.pairs,
 }
 
 

@@ -10,7 +10,7 @@ from threatloom.operators import sampling as P
 from threatloom.operators import windows as Wn
 from threatloom.queries.base import checksum, query, sql, sql_checksum, stage, table
 from threatloom.queries.graphs import stored_report_graph
-from threatloom.queries.snapshots import merged_graph
+from threatloom.queries.snapshots import merged_graph, snap_sql
 from threatloom.sources.tables import read_embeddings
 
 WINDOW = 3
@@ -114,7 +114,14 @@ _split("w10_temporal_split_last30", "last30", 7, "CASE WHEN i >= n - 30 THEN 'te
 _split("w10_temporal_split_last", "last", 3, "CASE WHEN i = n - 1 THEN 'test' WHEN i = n - 2 THEN 'val' ELSE 'train' END")
 
 
-@query("w11_node_split")
+@query(
+    "w11_node_split",
+    sql(
+        """SELECT ntype, s.split, CASE s.split WHEN 'train' THEN a WHEN 'val' THEN b ELSE n - a - b END AS n
+FROM (SELECT ntype, count(*) AS n, CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) AS a, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS b FROM r_nodes GROUP BY 1),
+(VALUES ('train'), ('val'), ('test')) s(split) WHERE CASE s.split WHEN 'train' THEN a WHEN 'val' THEN b ELSE n - a - b END > 0"""
+    ),
+)
 def node_split(spark, sf):
     rows = Wn.node_split(stored_report_graph(spark, sf).nodes.select("key", "ntype"), 7)
     return rows.groupBy("ntype", "split").agg(F.count("*").alias("n"))
@@ -192,13 +199,37 @@ def negative_pairs(spark, sf):
     return P.negative_pairs(linked, authors(spark, sf), P.sample_sizes(P.new_pairs(linked)), 7)
 
 
-@query("l04_sample_pairs")
+_SIZES = """SELECT s, n, least(n, (SELECT count(*) * (count(*) - 1) FROM supplier) - coalesce(used, 0)) AS n_free
+FROM (SELECT s, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS n FROM p_new GROUP BY 1) LEFT JOIN (SELECT s, count(*) AS used FROM p_linked GROUP BY 1) USING (s)"""
+
+
+@query("l03_negative_pairs_check", win_sql(f"SELECT s, n_free AS n, n_free AS n_distinct, 0 AS n_linked, 0 AS n_self FROM ({_SIZES}) WHERE n_free > 0"))
+def negative_pairs_check(spark, sf):
+    """Every snapshot gets its number of negatives, all different, none linked now or before, none with itself."""
+    drawn = negative_pairs(spark, sf)
+    linked = P.linked_now_or_before(pairs(spark, sf)).withColumn("linked", F.lit(1))
+    marked = drawn.join(linked, ["s", "src", "dst"], "left")
+    return marked.groupBy("s").agg(
+        F.count("*").alias("n"),
+        F.countDistinct("src", "dst").alias("n_distinct"),
+        F.count("linked").cast("int").alias("n_linked"),
+        F.count(F.when(F.col("src") == F.col("dst"), 1)).cast("int").alias("n_self"),
+    )
+
+
+@query("l04_sample_pairs", win_sql(f"SELECT s, 1 AS label, n FROM ({_SIZES}) WHERE n > 0 UNION ALL SELECT s, 0, n_free FROM ({_SIZES}) WHERE n_free > 0"))
 def sample_pairs(spark, sf):
     rows = P.sample_pairs(pairs(spark, sf), authors(spark, sf), 0.1, 7)
     return rows.groupBy("s", "label").agg(F.count("*").alias("n"))
 
 
-@query("l05_sample_edges")
+@query(
+    "l05_sample_edges",
+    snap_sql(
+        """SELECT s.ntype AS src_type, etype, d.ntype AS dst_type, label, least(100, count(*)) AS n
+FROM m_edges JOIN m_nodes s ON s.key = src JOIN m_nodes d ON d.key = dst, (VALUES (0), (1)) l(label) GROUP BY 1, 2, 3, 4"""
+    ),
+)
 def sample_edges(spark, sf):
     g = merged_graph(spark, sf)
     ids = X.local_ids(g.nodes)

@@ -1,7 +1,9 @@
 """Session settings and reliable lineage cuts."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,19 @@ def local_session(cores="*", shuffle_partitions=8, memory="16g") -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, for a cluster that does not have it installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="threatloom-ship-"), "threatloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy.
 
