@@ -58,6 +58,9 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_simhash, o
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# The lookup table as text, two digits a slot: filling it takes turns, which SQL does not.
+_PLACES = "".join(f"{shard:02d}" for shard in sharding.lookup_table(SHARDS))
+
 ORACLES = {
     "op4_decontamination": rf"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -75,6 +78,9 @@ items AS (SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SE
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op8_sharding": f"""
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(substr('{_PLACES}', 2 * slot + 1, 2) AS INTEGER) AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.TABLE_SLOTS} AS slot FROM documents)""",
     "op6_quality_rules": rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
