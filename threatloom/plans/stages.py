@@ -18,12 +18,13 @@ from threatloom.operators.counts import edge_counts, node_counts, snapshot_count
 from threatloom.operators.features import local_ids, typed_edges
 from threatloom.operators.sampling import sample_edges
 from threatloom.operators.windows import node_split, temporal_split
+from threatloom.plans.scoring import score_stage
 from threatloom.sources.alerts import read_alerts
 from threatloom.sources.entities import read_entities, write_entities
 from threatloom.sources.reports import read_report_text
-from threatloom.sources.tables import load_graph, save_graph
+from threatloom.sources.tables import load_graph, save_graph, write_metrics
 
-STAGES = ["extract", "report_graph", "alert_graph", "merge", "snapshots", "samples"]
+STAGES = ["extract", "report_graph", "alert_graph", "merge", "snapshots", "samples", "scores"]
 
 
 def extract(spark: SparkSession, base: str, reports: str, suffixes: DataFrame = None):
@@ -80,6 +81,17 @@ def samples(spark: SparkSession, base: str, k=100, seed=0):
     sample_edges(edges, ids, k, seed, test=True).write.parquet(f"{base}/edge_samples")
 
 
+def scores(spark: SparkSession, base: str, weights: str = None, seed=0):
+    """Metrics of the edge samples, scored with the model whose weights lie at ``weights``; nothing without a model."""
+    if weights is None:
+        return
+    ids = spark.read.parquet(f"{base}/local_ids")
+    last = ids.agg(F.max("snapshot_id")).first()[0]
+    samples = spark.read.parquet(f"{base}/edge_samples")
+    rows = score_stage(spark, load_graph(spark, f"{base}/snapshots"), samples, ids.where(F.col("snapshot_id") == last), weights, seed)
+    write_metrics(rows, f"{base}/metrics")
+
+
 def run_stages(spark: SparkSession, base: str, stages=tuple(STAGES), options=None) -> DataFrame:
     """Run the named stages in order and count the merged graph and its snapshots.
 
