@@ -52,6 +52,8 @@ def assign_snapshot(days: DataFrame, n=5, mode="fractional", include_last=True)
 
 def snapshot_reports(nodes: DataFrame, edges: DataFrame, days: DataFrame) -> DataFrame:
     """Members (snapshot_id, key): the days, their reports, and the reports' addresses, domains, hashes and files."""
+    # days are few, and the hottest targets: joined by shuffle, a day's edges would meet in one task
+    days = broadcast_if_small(days)
     reports = nodes.where(F.col("ntype") == "report").select(F.col("key").alias("src"))
     into = edges.select("src", F.col("dst").alias("day")).join(days, "day").join(reports, "src", "left_semi")
     dated = checkpointed(into.select("snapshot_id", F.col("src")).distinct())
@@ -62,6 +64,7 @@ def snapshot_reports(nodes: DataFrame, edges: DataFrame, days: DataFrame) -> Dat
 
 def snapshot_all(nodes: DataFrame, edges: DataFrame, days: DataFrame) -> DataFrame:
     """Members: the days, every node pointing at one, and everything those nodes point at."""
+    days = broadcast_if_small(days)
     into = edges.select("src", F.col("dst").alias("day")).join(days, "day")
     dated = checkpointed(into.select("snapshot_id", "src").distinct())
     return _members(days, dated, edges.select("src", "dst").join(broadcast_if_small(dated), "src"))
@@ -97,16 +100,17 @@ def snapshot_graph(graph: Graph, n=5, scope="reports", include_last=True) -> Gra
     """
     mode = "fractional" if scope == "reports" else "whole"
     days = checkpointed(assign_snapshot(day_nodes(graph.nodes), n, mode, include_last))
-    times = graph.nodes.where(F.col("ntype") == "timestamp").select(F.col("key").alias("dst"))
+    times = broadcast_if_small(graph.nodes.where(F.col("ntype") == "timestamp").select(F.col("key").alias("dst")))
+    few = broadcast_if_small(days.withColumnRenamed("day", "dst"))
     into = graph.edges.select("src", "dst", "etype").join(times, "dst", "left_semi")
     if scope == "reports":
         members = checkpointed(snapshot_reports(graph.nodes, graph.edges, days))
         reports = graph.nodes.where(F.col("ntype") == "report").select(F.col("key").alias("src"))
-        own = into.join(reports, "src", "left_semi").join(days.withColumnRenamed("day", "dst"), "dst")
+        own = into.join(few, "dst").join(reports, "src", "left_semi")
         own = own.withColumn("etype", F.lit("timestamp_of_report"))
     else:
         members = checkpointed(snapshot_all(graph.nodes, graph.edges, days))
-        dated = into.join(days.withColumnRenamed("day", "dst"), "dst").select("snapshot_id", "src").distinct()
+        dated = into.join(few, "dst").select("snapshot_id", "src").distinct()
         own = into.join(dated, "src")
     nodes = members.join(graph.nodes, "key")
     edges = induced_edges(members, graph.nodes, graph.edges).unionByName(own.select("snapshot_id", "src", "dst", "etype"))
