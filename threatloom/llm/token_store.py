@@ -38,14 +38,11 @@ def train_dictionary(docs: DataFrame, source: str, width: str, id_col, text_col)
     """Dictionary from the serialized ids of a bounded sample; empty if there is too little to train on."""
     from threatloom.llm.tokens import encoder
 
-    sample = (
-        docs.select(docs[id_col].alias("id"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("text"))
-        .where("text <> ''")
-        .orderBy(F.xxhash64("id"))
-        .limit(SAMPLE_DOCS)
-        .select(F.col("text").cast("binary"))
-        .collect()
-    )
+    # ids first: only eight bytes a document are sorted, and texts of the chosen ones alone come to the driver
+    order = F.xxhash64(docs[id_col])
+    top = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first()["h"]
+    texts = docs.where(order <= F.lit(top)).select(F.substring(docs[text_col], 1, SAMPLE_CHARS).cast("binary").alias("text"))
+    sample = texts.where(F.length("text") > 0).limit(SAMPLE_DOCS).collect() if top is not None else []
     ids, counts = encoder(source).encode([bytes(r[0]) for r in sample])
     parts = [x.astype(width).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
     try:

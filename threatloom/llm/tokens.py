@@ -93,7 +93,12 @@ class Encoder:
         self.added = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
         breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = breaks[0] if len(breaks) == 1 else None
-        self.cache = {}
+        self._forget()
+
+    def _forget(self):
+        # number of each known piece, and where its ids stand in one array
+        self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(CACHE_PIECES, np.int64), np.zeros(CACHE_PIECES, np.int64)
 
     def encode(self, texts: list) -> tuple:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -134,38 +139,47 @@ class Encoder:
         offsets = np.append(cuts, len(whole)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
         grouped = pc.dictionary_encode(pieces)
-        which = grouped.indices.to_numpy()
-        ids = self._ids_of(grouped.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
-        n = sizes[which]
+        number = self._numbers(grouped.dictionary.to_pylist())[grouped.indices.to_numpy()]
+        n = self.size[number]
         place = np.cumsum(n) - n
-        out = flat[np.repeat(at[which] - place, n) + np.arange(int(n.sum()))]
+        out = self.flat[np.repeat(self.start[number] - place, n) + np.arange(int(n.sum()))]
         upto = np.append(place, len(out))[np.searchsorted(cuts, np.concatenate([[0], ends]))]
         return out, np.diff(upto)
 
-    def _ids_of(self, pieces):
-        cache = self.cache
-        new = [p for p in pieces if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = pieces
-        blank = {p for p in new if (p[0] <= 0x20 or p[0] >= 0x80) and p.decode().isspace()}
+    def _numbers(self, pieces):
+        """Numbers of the pieces, which index ``start`` and ``size``; new ones are encoded."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > CACHE_PIECES:
+            self._forget()
+            known, new = self.known, pieces
+            if len(new) > CACHE_PIECES:
+                self.start, self.size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        blank = {p for p in new if (p[-1] <= 0x20 or p[-1] >= 0x80) and p.decode().isspace()}
         words = [p for p in new if p not in blank] if self.line_break is not None else []
-        for p in blank if words else new:
-            cache[p] = self._alone(p)
+        for p in blank if self.line_break is not None else new:
+            self._learn([p], self._alone(p), np.zeros(1, np.int64), None)
         # a line break is a piece of its own between two words, so many words go in one text
         for lo in range(0, len(words), 2000):
             some = words[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = self._alone(b"\n".join(some))
             at = np.flatnonzero(ids == self.line_break)
-            own = np.split(ids, at)
-            if len(own) != len(some):
-                own = [self._alone(p) for p in some]
+            if len(at) == len(some) - 1:
+                self._learn(some, ids, np.append(0, at + 1), np.append(at, len(ids)))
             else:
-                own = own[:1] + [x[1:] for x in own[1:]]
-            cache.update(zip(some, own))
-        return [cache[p] for p in pieces]
+                for p in some:
+                    self._learn([p], self._alone(p), np.zeros(1, np.int64), None)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _learn(self, pieces, ids, begins, ends):
+        first, used = len(self.known), self.used
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[used : used + len(ids)] = ids
+        self.used += len(ids)
+        self.start[first : first + len(pieces)] = begins + used
+        self.size[first : first + len(pieces)] = (np.array([len(ids)]) if ends is None else ends) - begins
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
 
 
 @functools.lru_cache(maxsize=2)
