@@ -60,11 +60,9 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
         for batch in batches:
             texts, ids = texts_of(batch), batch.column(0)
             for lo, hi, flat, counts in encoded_batches(source.value, texts):
-                upto = np.concatenate([[0], np.cumsum(counts)])
-                crcs = []
-                for a, b in zip(upto[:-1], upto[1:]):
-                    own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
-                    crcs.append([zlib.crc32(own[i : i + capacity]) for i in range(0, len(own), capacity)])
+                upto = np.concatenate([[0], np.cumsum(counts + 1)]).tolist()
+                ended = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
+                crcs = [[zlib.crc32(ended[i : min(i + capacity, b)]) for i in range(a, b, capacity)] for a, b in zip(upto[:-1], upto[1:])]
                 columns = [ids.slice(lo, hi - lo), pa.array(counts + 1, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_tokens", "crcs"])
 

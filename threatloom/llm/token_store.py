@@ -96,12 +96,12 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, id_col="d
                 arrow = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("first_id", kind), ("last_id", kind), ("ids", pa.list_(kind)), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("dictionary_sha256", pa.string()), ("payload", pa.binary())])
             texts, keys = texts_of(batch), batch.column(0).to_pylist()
             for lo, _, flat, n in encoded_batches(source, texts):
-                upto = np.concatenate([[0], np.cumsum(n)])
-                for i in range(len(n)):
-                    own = np.append(flat[upto[i] : upto[i + 1]], np.uint32(end_id))
-                    frames.append(packer.compress(own.astype(width).tobytes()))
+                upto = np.concatenate([[0], np.cumsum(n + 1)]).tolist()
+                ended = np.insert(flat, np.cumsum(n), end_id).astype(width)
+                for i, (a, b) in enumerate(zip(upto[:-1], upto[1:])):
+                    frames.append(packer.compress(ended[a:b]))
                     ids.append(keys[lo + i])
-                    counts.append(len(own))
+                    counts.append(b - a)
                     offsets.append(offsets[-1] + len(frames[-1]))
                     if len(ids) >= CHUNK_DOCS or offsets[-1] >= CHUNK_BYTES:
                         yield chunk()

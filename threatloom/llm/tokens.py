@@ -93,30 +93,17 @@ class Encoder:
         self.added = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
         breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = breaks[0] if len(breaks) == 1 else None
-        self._forget()
-
-    def _forget(self):
-        # number of each known piece, and where its ids stand in one array
-        self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(CACHE_PIECES, np.int64), np.zeros(CACHE_PIECES, np.int64)
+        self.young, self.old = Pieces(CACHE_PIECES), Pieces(0)
 
     def encode(self, texts: list) -> tuple:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
-        counts = np.zeros(len(texts), np.int64)
-        parts = [None] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if not self.by_piece or any(a in text for a in self.added):
-                parts[i] = self._alone(text)
-            else:
-                plain.append(i)
-        if plain:
-            ids, n = self._by_piece([texts[i] for i in plain])
-            for i, own in zip(plain, np.split(ids, np.cumsum(n)[:-1])):
-                parts[i] = own
-        for i, p in enumerate(parts):
-            counts[i] = len(p)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), counts
+        plain = [self.by_piece and not any(a in text for a in self.added) for text in texts]
+        if all(plain):
+            return self._by_piece(texts)
+        ids, n = self._by_piece([t for t, p in zip(texts, plain) if p])
+        pieces = iter(np.split(ids, np.cumsum(n)[:-1]))
+        parts = [next(pieces) if p else self._alone(t) for t, p in zip(texts, plain)]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def _alone(self, text):
         return np.array(self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, np.uint32)
@@ -139,48 +126,76 @@ class Encoder:
         offsets = np.append(cuts, len(whole)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
         grouped = pc.dictionary_encode(pieces)
-        number = self._numbers(grouped.dictionary.to_pylist())[grouped.indices.to_numpy()]
-        n = self.size[number]
+        out, n = self._known(grouped.dictionary.to_pylist()).gather(grouped.indices.to_numpy())
         place = np.cumsum(n) - n
-        out = self.flat[np.repeat(self.start[number] - place, n) + np.arange(int(n.sum()))]
         upto = np.append(place, len(out))[np.searchsorted(cuts, np.concatenate([[0], ends]))]
         return out, np.diff(upto)
 
-    def _numbers(self, pieces):
-        """Numbers of the pieces, which index ``start`` and ``size``; new ones are encoded."""
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
-            self._forget()
-            known, new = self.known, pieces
-            if len(new) > CACHE_PIECES:
-                self.start, self.size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+    def _known(self, pieces):
+        """A view of the cache in which piece i of ``pieces`` has number i.
+
+        Two generations are kept: when the young one is full it becomes the old one, and what is still
+        used comes over from there, so frequent pieces are not encoded again.
+        """
+        missing = [p for p in pieces if p not in self.young.known]
+        if len(self.young.known) + len(missing) > self.young.room:
+            self.young, self.old, missing = Pieces(max(CACHE_PIECES, len(pieces))), self.young, pieces
+        kept = [p for p in missing if p in self.old.known]
+        if kept:
+            ids, n = self.old.view(kept).gather(np.arange(len(kept)))
+            self.young.learn(kept, ids, np.cumsum(n) - n, np.cumsum(n))
+        new = [p for p in missing if p not in self.old.known]
         blank = {p for p in new if (p[-1] <= 0x20 or p[-1] >= 0x80) and p.decode().isspace()}
         words = [p for p in new if p not in blank] if self.line_break is not None else []
         for p in blank if self.line_break is not None else new:
-            self._learn([p], self._alone(p), np.zeros(1, np.int64), None)
+            self._learn_alone(p)
         # a line break is a piece of its own between two words, so many words go in one text
         for lo in range(0, len(words), 2000):
             some = words[lo : lo + 2000]
-            ids = self._alone(b"\n".join(some))
+            text = b"\n".join(some).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.line_break)
             if len(at) == len(some) - 1:
-                self._learn(some, ids, np.append(0, at + 1), np.append(at, len(ids)))
+                self.young.learn(some, ids, np.append(0, at + 1), np.append(at, len(ids)))
             else:
                 for p in some:
-                    self._learn([p], self._alone(p), np.zeros(1, np.int64), None)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+                    self._learn_alone(p)
+        return self.young.view(pieces)
+
+    def _learn_alone(self, piece):
+        ids = self._alone(piece)
+        self.young.learn([piece], ids, np.array([0]), np.array([len(ids)]))
+
+
+class Pieces:
+    """Ids of up to ``room`` pieces: number of each piece, and where its ids stand in one array."""
 
-    def _learn(self, pieces, ids, begins, ends):
+    def __init__(self, room):
+        self.room, self.known, self.flat, self.used = room, {}, np.zeros(1 << 10, np.uint32), 0
+        self.start, self.size = np.zeros(room, np.int64), np.zeros(room, np.int64)
+
+    def learn(self, pieces, ids, begins, ends):
         first, used = len(self.known), self.used
         if used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
         self.flat[used : used + len(ids)] = ids
         self.used += len(ids)
         self.start[first : first + len(pieces)] = begins + used
-        self.size[first : first + len(pieces)] = (np.array([len(ids)]) if ends is None else ends) - begins
+        self.size[first : first + len(pieces)] = ends - begins
         self.known.update(zip(pieces, range(first, first + len(pieces))))
 
+    def view(self, pieces):
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        some = Pieces(0)
+        some.flat, some.start, some.size = self.flat, self.start[number], self.size[number]
+        return some
+
+    def gather(self, numbers):
+        """(ids of these pieces one after the other, number of ids of each)."""
+        n = self.size[numbers]
+        place = np.cumsum(n) - n
+        return self.flat[np.repeat(self.start[numbers] - place, n) + np.arange(int(n.sum()))], n
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(source: str) -> Encoder:
