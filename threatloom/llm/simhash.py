@@ -222,8 +222,10 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, ra
     distinct = made.groupBy("fp").agg(F.min("id").alias("first"))
     found = components(link_fingerprints(distinct.select(F.col("fp").alias("node"), "fp"), radius, shard_rows=shard_rows))
     linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
-    low = linked.join(linked.groupBy("component").agg(F.min("first").alias("low")), "component").select("fp", "low")
-    of_root = distinct.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    # written before they are joined, so that a hot component or fingerprint is split in the join
+    least = materialized(linked.groupBy("component").agg(F.min("first").alias("low")))
+    low = linked.join(least, "component").select("fp", "low")
+    of_root = materialized(distinct.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
     return made.join(of_root, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
