@@ -229,11 +229,11 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, ra
     return made.join(of_root, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SKETCH_WORDS, SKETCH_BITS = 5, 256
+SKETCH_WORDS, SKETCH_BITS = 5, 512
 
 
 def sketch_limit(similarity: float) -> int:
-    """Differing bits of 256 that a Jaccard similarity of five-word shingles gives, and one standard error."""
+    """Differing bits of ``SKETCH_BITS`` that a Jaccard similarity of five-word shingles gives, and one standard error."""
     cosine = 2 * similarity / (1 + similarity)
     p = float(np.arccos(cosine) / np.pi)
     return int(SKETCH_BITS * p + np.sqrt(SKETCH_BITS * p * (1 - p)))
@@ -255,7 +255,7 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     """(digest, id, n, component): one row for each distinct text, with its near-duplicate group.
 
     Candidates are texts of which one of ``prints`` fingerprints of their word sets is within
-    ``radius`` bits; word sets change little by a few edits. They are linked if the 256-bit SimHashes of
+    ``radius`` bits; word sets change little by a few edits. They are linked if the 512-bit SimHashes of
     their five-word shingles are as near as a similarity of ``similarity`` makes them. ``digest`` is the
     MD5 of the text, ``id`` the smallest id that has it, ``n`` how many rows have that id and text.
     """
