@@ -136,3 +136,41 @@ def test_keep_one_edges(edge_docs, no_docs):
     assert sorted(k for k, _ in got if k is not None) == [0, 3, 4, 5, 6, 7, 9, 10, 11]
     assert (None, "a row without an id and a few more words to make it long enough") in got
     assert simhash.keep_one(no_docs).collect() == []
+
+
+def test_pairs_of_every_kind_of_edit_are_linked(spark):
+    """Copies with an added, cut or replaced passage, or replaced words, are linked from a similarity of 0.8 on."""
+    draw = random.Random(31)
+    word = lambda: f"{draw.choice('bcdfglmnprst')}{draw.choice('aeiou')}{draw.randrange(3000)}"
+    rows = []
+    for n in range(240):
+        text = [word() for _ in range(draw.randint(60, 500))]
+        size = int(len(text) * draw.uniform(0.02, 0.3))
+        more = [word() for _ in range(size)]
+        cut = draw.randrange(len(text) - size)
+        copy = [text + more, more + text, text[size:], text[:-size], text[:cut] + more + text[cut + size :], edited(" ".join(text), draw, max(30, 2000 // size)).split()][n % 6]
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    part = {r["id"]: r["component"] for r in found.collect()}
+    pairs = [similarity(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert sum(s >= 0.8 for s in pairs) > 80 and sum(s < 0.8 for s in pairs) > 20
+    assert [part[2 * n] == part[2 * n + 1] for n in range(len(pairs))] == [s >= 0.8 for s in pairs]
+
+
+def test_pairs_left_for_the_second_round(spark):
+    """Many texts that are uncertain by sketch, a chain and a dense group: the groups are those of all pairs."""
+    draw = random.Random(3)
+    text = [f"w{i}" for i in range(120)]
+    rows = []
+    for n in range(60):
+        own = list(text)
+        for at in draw.sample(range(0, 120, 8), draw.randint(1, 4)):
+            own[at] = f"x{n}y{at}"
+        rows.append((n, " ".join(own)))
+    sets = dict(rows)
+    want = plain_components(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), first_pairs=1, shard_rows=7)
+    got, low = {r["id"]: r["component"] for r in found.collect()}, {}
+    for k in sorted(got):
+        low.setdefault(got[k], k)
+    assert {k: low[c] for k, c in got.items()} == want

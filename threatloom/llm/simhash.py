@@ -230,17 +230,28 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, ra
 
 
 SKETCH_WORDS, SKETCH_BITS = 5, 512
+# Smallest hashes of a band, the share of pairs at the wanted similarity that may meet in no band, and the
+# standard errors of a SimHash distance that are left to the exact comparison.
+BAND_ROWS, MISSED, ERRORS = 4, 0.001, 4
+# Uncertain pairs a text may list before what is certain by then is used to leave out others.
+FIRST_PAIRS = 8
 
 
-def sketch_limit(similarity: float) -> int:
-    """Differing bits of ``SKETCH_BITS`` that a Jaccard similarity of five-word shingles gives, and one standard error."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(cosine) / np.pi)
-    return int(SKETCH_BITS * p + np.sqrt(SKETCH_BITS * p * (1 - p)))
+def sketch_limits(similarity: float) -> tuple:
+    """Differing bits of ``SKETCH_BITS`` up to which texts are surely, and may be, as similar as ``similarity``."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    middle, error = SKETCH_BITS * p, np.sqrt(SKETCH_BITS * p * (1 - p))
+    return max(0, int(middle - ERRORS * error)), int(middle + ERRORS * error)
 
 
-def word_and_run_hashes(text: bytes) -> tuple:
-    """Hashes of the distinct words and of the distinct runs of ``SKETCH_WORDS`` words."""
+def band_count(similarity: float) -> int:
+    """Bands of which two texts of this similarity share none with a probability of at most ``MISSED``."""
+    alike = similarity**BAND_ROWS
+    return 1 if alike >= 1 else int(np.ceil(np.log(MISSED) / np.log(1 - alike)))
+
+
+def run_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the distinct runs of ``SKETCH_WORDS`` words; fewer words are one run."""
     words = text.translate(LOWER).split()
     known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
     each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -248,37 +259,198 @@ def word_and_run_hashes(text: bytes) -> tuple:
     runs = np.zeros(len(each) - size + 1 if len(each) else 0, np.uint64)
     for i in range(size if len(each) else 0):
         runs += mixed(each[i : len(each) - size + 1 + i], i)
-    return np.fromiter(known.values(), np.uint64, len(known)), np.unique(runs)
+    return np.unique(runs)
+
+
+def band_keys(runs: np.ndarray, bands: int) -> np.ndarray:
+    """One key for each band: its number and the smallest of all hashes by ``BAND_ROWS`` hash functions."""
+    numbers = np.arange(bands * BAND_ROWS, dtype=np.uint64)
+    least = np.full(len(numbers), ~np.uint64(0))
+    for at in range(0, len(runs), 4096):
+        some = runs[at : at + 4096, None] ^ mixed(numbers, 1)
+        least = np.minimum(least, (some * (mixed(numbers, 2) | np.uint64(1))).min(axis=0))
+    keys = mixed(np.arange(bands, dtype=np.uint64), 3)
+    for i in range(BAND_ROWS):
+        keys = mixed(keys + least[i::BAND_ROWS], i)
+    return keys
+
+
+class Bucket(Shard):
+    """BK-tree of the sketches in one band's bucket, which lists pairs to compare.
+
+    Pairs within ``sure`` bits join parts, and only those that join some are listed; of the pairs within
+    ``radius`` bits all are that lie in different parts, up to ``most`` for each node. Equal sketches
+    are one node of the tree. Nodes of one ``group`` are one part from the start.
+    """
 
+    def __init__(self, radius, sure, most):
+        super().__init__(radius)
+        self.sure, self.most, self.more, self.groups = sure, most, 0, {}
 
-def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, radius=4, prints=5, shard_rows=SHARD_ROWS) -> DataFrame:
+    def near(self, sketch, group):
+        """Tree nodes to compare with, and the node's part or -1."""
+        component = self.find(self.groups[group]) if group in self.groups else -1
+        found = []
+        stack = [0] if self.fps else []
+        while stack:
+            i = stack.pop()
+            if component >= 0 and self.uniform[i] >= 0 and self.find(self.uniform[i]) == component:
+                continue
+            d = (sketch ^ self.fps[i]).bit_count()
+            if d <= self.radius and (component < 0 or self.find(i) != component):
+                found.append((d, i))
+                if d <= self.sure:
+                    if component >= 0:
+                        self.unite(component, i)
+                    component = self.find(i)
+            below = self.children[i]
+            if below:
+                low, high = d - self.radius, d + self.radius
+                stack.extend(c for edge, c in below.items() if low <= edge <= high)
+        doubt = sorted((d, i) for d, i in found if d > self.sure and (component < 0 or self.find(i) != component))
+        if self.most is not None:
+            self.more += max(0, len(doubt) - self.most)
+            doubt = doubt[: self.most]
+        return [i for d, i in found if d <= self.sure] + [i for _, i in doubt], component
+
+    def insert(self, sketch, node, component, group):
+        """Insert a sketch into the tree as a node of a part."""
+        new, at = len(self.fps), 0
+        if new:
+            while True:  # a sketch that is known stands for its equals
+                d = (sketch ^ self.fps[at]).bit_count()
+                if d == 0:
+                    new = at
+                    break
+                after = (self.children[at] or {}).get(d)
+                if after is None:
+                    break
+                at = after
+        if new == len(self.fps):
+            self.fps.append(sketch)
+            self.nodes.append(node)
+            self.children.append(None)
+            self.parent.append(new)
+            self.uniform.append(new)
+        if component >= 0:
+            self.unite(new, component)
+        if group is not None:
+            self.unite(new, self.groups.setdefault(group, new))
+        own, at = self.find(new), 0
+        while at != new:
+            if self.uniform[at] >= 0 and self.find(self.uniform[at]) != own:
+                self.uniform[at] = -1
+            d = (sketch ^ self.fps[at]).bit_count()
+            if self.children[at] is None:
+                self.children[at] = {}
+            at = self.children[at].setdefault(d, new)
+
+
+def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int) -> DataFrame:
+    """Pairs (a, b, more) of ``points`` (node, grp, keys, sketch) to compare: equal in a key and within ``far`` bits.
+
+    Left out are pairs whose nodes other pairs within ``sure`` bits or an equal ``grp`` join, and, if
+    ``most`` is given, pairs beyond that many of a node; ``more`` says how many these are.
+    """
+    rows = points.select("node", "grp", "sketch", F.explode("keys").alias("key"))
+    hot = rows.groupBy("key").count().where(F.col("count") > shard_rows)
+    hot = materialized(hot.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees")))
+    own = F.pmod(F.xxhash64("node"), F.coalesce("trees", F.lit(1))).cast("int")
+    rows = rows.join(broadcast_if_small(hot), "key", "left").withColumn("own", own)
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own")))
+    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("guest"), "node", "grp", "sketch")
+
+    def run(batches):
+        bucket, at, waiting = None, None, None
+        for batch in batches:
+            key, tree, guest, node, grp, sketch = (batch.column(i).to_pylist() for i in range(6))
+            a, b, more = [], [], []
+            for i in range(len(key)):
+                row = (int.from_bytes(sketch[i], "little"), node[i], grp[i], guest[i])
+                if (key[i], tree[i]) != at:
+                    at, bucket, waiting = (key[i], tree[i]), None, row
+                    continue
+                if bucket is None:  # the second of its bucket
+                    bucket = Bucket(far, sure, most)
+                    if not waiting[3]:
+                        bucket.insert(waiting[0], waiting[1], -1, waiting[2])
+                before = bucket.more
+                found, part = bucket.near(row[0], row[2])
+                for x in found:
+                    a.append(row[1])
+                    b.append(bucket.nodes[x])
+                    more.append(0)
+                if bucket.more > before:
+                    more[-1] = bucket.more - before
+                if not row[3]:
+                    bucket.insert(row[0], row[1], part, row[2])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "more"])
+
+    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInArrow(run, "a long, b long, more long")
+
+
+def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, runs): the run hashes of the texts ``wanted`` (node, digest, id)."""
+
+    def run(batches):
+        for batch in batches:
+            runs = [run_hashes(t).view(np.int64) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int64()))], names=["node", "runs"])
+
+    rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
+    names = wanted.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
+    rows = rows.join(names, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, runs array<long>")
+
+
+def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, shard_rows=SHARD_ROWS, first_pairs=FIRST_PAIRS) -> DataFrame:
     """(digest, id, n, component): one row for each distinct text, with its near-duplicate group.
 
-    Candidates are texts of which one of ``prints`` fingerprints of their word sets is within
-    ``radius`` bits; word sets change little by a few edits. They are linked if the 512-bit SimHashes of
-    their five-word shingles are as near as a similarity of ``similarity`` makes them. ``digest`` is the
-    MD5 of the text, ``id`` the smallest id that has it, ``n`` how many rows have that id and text.
+    Candidates are texts that agree in a band of smallest hashes of their five-word runs, which depends on
+    their similarity only and not on how they were edited. Candidates whose 512-bit SimHashes
+    may be as near as ``similarity`` makes them are linked if the Jaccard similarity of their sets of runs is
+    at least that. ``digest`` is the MD5 of the text, ``id`` the smallest id that has it, ``n`` how many
+    rows have that id and text.
     """
-    kind = docs.schema[id_col].dataType
+    kind, bands = docs.schema[id_col].dataType, band_count(similarity)
 
     def run(batches):
         for batch in batches:
-            fps, sketches = [], []
+            keys, sketches = [], []
             for text in texts_of(batch):
-                words, runs = word_and_run_hashes(text)
-                fps.append([majority(mixed(words, s)) for s in range(prints)])
+                runs = run_hashes(text)
+                keys.append(band_keys(runs, bands).view(np.int64))
                 sketches.append(b"".join(majority(mixed(runs, s)).to_bytes(8, "little") for s in range(SKETCH_BITS // 64)))
-            fps = np.array(fps, np.uint64).reshape(-1, prints).view(np.int64).tolist()
-            columns = [batch.column(batch.schema.get_field_index("digest")), batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "fps", "sketch"])
+            columns = [batch.column(batch.schema.get_field_index("digest")), batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "keys", "sketch"])
 
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", kind), T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", kind), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
     made = materialized(rows.mapInArrow(run, schema))
-    texts = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    texts = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     texts = materialized(texts.withColumn("node", F.monotonically_increasing_id()))  # a short name for each text
-    points = texts.select("node", F.explode("fps").alias("fp"), "sketch")
-    found = components(link_fingerprints(points, radius, sketch_limit(similarity), shard_rows))
+
+    def linked(points, most):
+        """Pairs of ``points`` that are similar, and how many pairs are not compared yet."""
+        pairs = materialized(bucket_pairs(points, *sketch_limits(similarity), most, shard_rows))
+        left = pairs.agg(F.sum("more")).first()[0] or 0
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(nodes, "node"), id_col, text_col))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        either = F.size("x") + F.size("y") - shared
+        return both.where((either == 0) | (shared / either >= similarity)).select("a", "b"), left
+
+    no_group = F.lit(None).cast("long").alias("grp")
+    links, left = linked(texts.select("node", no_group, "keys", "sketch"), first_pairs)
+    links = materialized(links)
+    found = components(links)
+    if left:
+        # what is one group by now is not compared again; every other pair is
+        points = texts.join(found, "node", "left").select("node", F.col("component").alias("grp"), "keys", "sketch")
+        found = components(links.unionByName(linked(points, None)[0]))
     rows_of = made.groupBy("digest", F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
     first = texts.join(rows_of, "digest").where(F.col("id").eqNullSafe(F.col("_id")))
     return first.join(found, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
