@@ -9,15 +9,19 @@ value is linear in its length; spans of one kind do not overlap, those of two ki
 are answered one by one; an empty table gives no rows; other columns are not read.
 """
 
+import functools
+import json
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.llm.common import LOWER, text_rows, texts_of
+from threatloom.llm.tokens import tokenizer_source
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -49,6 +53,23 @@ SECRET_BITS, SECRET_CHARS = 40.0, 8
 
 _RANK = {w: i + 2 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
+
+# The vocabulary file whose pieces that begin words are the words of prose, in order of frequency.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@functools.lru_cache(maxsize=1)
+def prose_words() -> dict:
+    """{word: rank}: the words above, then those of the vocabulary file. Read where the job is planned, and sent to the tasks."""
+    ranks = dict(_RANK)
+    for piece in json.loads(tokenizer_source(public_tokenizers.path(VOCABULARY)))["model"]["vocab"]:
+        word = piece[1:].lower()
+        if piece[0] == "\u0120" and 3 <= len(word) <= _LONGEST_PROSE and word.isascii() and word.isalpha():
+            ranks.setdefault(word, len(ranks) + 2)
+    return ranks
+
+
+_LONGEST_PROSE = 20
 _NEXT = {
     (a, b)
     for r, row in enumerate(ROWS)
@@ -67,17 +88,18 @@ def char_bits(value: str) -> list:
     return [math.log2(size(c)) for c in value]
 
 
-def guess_segments(value: str) -> list:
-    """(start, end, bits) of the words, dates, repeats and walks in ``value``.
+def guess_segments(value: str, ranks=None) -> list:
+    """(start, end, bits) of the words (``ranks`` or the fixed ones), dates, repeats and walks in ``value``.
 
     Runs are listed as longest ones only, so their number grows with the value's length.
     """
     low, each = value.lower(), char_bits(value)
+    ranks, longest = (_RANK, _LONGEST) if ranks is None else (ranks, _LONGEST_PROSE)
     plain, found = low.translate(LEET), []
     n = len(low) if len(low) == len(value) else 0
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(plain[i:j])
             if rank:
                 own, shaped = value[i:j], 0.0
                 if own != low[i:j]:
@@ -102,13 +124,13 @@ def guess_segments(value: str) -> list:
     return found
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, ranks=None) -> float:
     """Fewest guesses, in bits, over all ways to cut ``value`` into segments.
 
     A brute-force span costs the characters it may have at each place; each change of segment costs a bit.
     """
     ends = {}
-    for i, j, bits in guess_segments(value):
+    for i, j, bits in guess_segments(value, ranks):
         ends.setdefault(j, []).append((i, bits))
     best = [0.0]
     for j, own in enumerate(char_bits(value), 1):
@@ -119,16 +141,12 @@ def guess_bits(value: str) -> float:
     return best[-1]
 
 
-def _mixed(value: str) -> bool:
-    """Two kinds of characters, one of them not a letter of prose: plain words are no secrets."""
-    digits = sum(c.isdigit() for c in value)
-    marks = sum(not c.isalnum() for c in value.rstrip(".,:;!?"))
-    inner = any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
-    return digits > 0 and digits + marks < len(value) or marks > 0 and inner
-
+def secret_spans(text: bytes, ranks=None) -> list:
+    """(kind, start, end, value start, bits) in one text: code points, end exclusive, in order of start and kind.
 
-def secret_spans(text: bytes) -> list:
-    """(kind, start, end, value start, bits) in one text: code points, end exclusive, in order of start and kind."""
+    Every value in a credential context is costed; ``ranks`` are the words of prose (``prose_words``). A value
+    that reaches beyond a base span it overlaps is the rest of that secret, whatever its cost.
+    """
     low = text.translate(LOWER)
     out, whole = [], None
     values = []
@@ -152,10 +170,12 @@ def secret_spans(text: bytes) -> list:
             b = a + len(value)
             while at < len(values) and values[at][1] <= a:
                 at += 1
-            if len(value) < SECRET_CHARS or at < len(values) and values[at][0] < b or not _mixed(value):
+            base = at < len(values) and values[at][0] < b
+            if base and values[at][0] <= a and b <= values[at][1] or not base and len(value) < SECRET_CHARS:
                 continue
-            bits = guess_bits(value)
-            if bits >= SECRET_BITS:
+            ranks = ranks or prose_words()
+            bits = guess_bits(value, ranks)
+            if base or bits >= SECRET_BITS:
                 out.append(("guess", a, b, a, bits))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -171,9 +191,11 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, spans) of each document."""
 
+    words = docs.sparkSession.sparkContext.broadcast(prose_words())
+
     def run(batches):
         for batch in batches:
-            spans = [[dict(zip(("kind", "start", "end", "value_start", "bits"), s)) for s in secret_spans(t)] for t in texts_of(batch)]
+            spans = [[dict(zip(("kind", "start", "end", "value_start", "bits"), s)) for s in secret_spans(t, words.value)] for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW)], names=["id", "spans"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", SPANS)])
@@ -198,14 +220,14 @@ def redact(docs: DataFrame, text_col="text", mark="[secret]", chars_col=None) ->
 
     ``chars_col`` names a column that holds the text's number of characters; it follows the text.
     """
-    names = docs.columns
+    names, words = docs.columns, docs.sparkSession.sparkContext.broadcast(prose_words())
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             out = []
             for text in batch.column(at).to_pylist():
-                spans = secret_spans(text.encode()) if text else ()
+                spans = secret_spans(text.encode(), words.value) if text else ()
                 if spans:
                     kept, upto = [], 0
                     for a, b in _joined((s[3], s[2]) for s in spans):
