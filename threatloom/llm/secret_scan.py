@@ -30,11 +30,15 @@ HEX, HEX_BYTES = re.compile(r"(?a)[0-9a-f]{16,}"), re.compile(rb"[0-9a-f]{16,}")
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "guess")
 
-# Credential words beyond the base ones, and values in quotes or with other signs.
+# Credential words beyond the base ones, and values in quotes or with other signs. Long words may stand at the end of
+# any name; short ones begin at a word's start: after any sign or prefix, or at a capital (camel case).
+_STARTS = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+_VALUE = r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?([^\s"'<>,;()\[\]{}]+))"""
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:[a-z0-9]*[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret|auth|account)[_-]?key|credentials?|auth|bearer)["']?\x20*(?:[:=]|=>|:=)\x20*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"'<>,;()\[\]{}]+))"""
+    rf"""(?ai)(?:pass(?:word|wd|phrase|code)|secret|token|api[_-]?key|(?:access|private|secret|account)[_-]?key|credentials?|authorization|{_STARTS}(?:pass|pwd|auth[_-]?key|auth|bearer))"""
+    rf"""["']?\x20*(?:=>|:=|[:=])\x20*(?:(?:bearer|basic|token)\x20+)?{_VALUE}|\b(?:bearer|basic)\x20+([a-z0-9+/_.=~-]+)"""
 )
-CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer")
+CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"basic")
 
 # Frequent words of passwords and placeholders, in order of frequency.
 WORDS = (
@@ -162,7 +166,7 @@ def secret_spans(text: bytes, ranks=None) -> list:
     if HEX_BYTES.search(text):
         whole = whole or text.decode(errors="replace")
         out += [("hex", m.start(), m.end(), m.start(), None) for m in HEX.finditer(whole)]
-    if (b":" in low or b"=" in low) and any(w in low for w in CONTEXT_WORDS):
+    if any(w in low for w in CONTEXT_WORDS):
         whole, at = whole or text.decode(errors="replace"), 0
         for m in CONTEXT.finditer(whole):
             i = m.lastindex
