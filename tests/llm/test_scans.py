@@ -286,6 +286,26 @@ def test_automaton_equals_greedy_longest_match():
             assert machine.count(word) == greedy(word, first, inner), word
 
 
+def test_words_without_a_first_piece_are_cut(spark, tokenizer):
+    """Words whose first bytes begin no piece with a blank in front are the bare blank and inner pieces."""
+    from threatloom.llm.tokens import tokenizer_source
+
+    first, inner = map(set, token_counts.pieces_of_vocabulary(tokenizer_source(tokenizer)))
+    words = "территория что это 一个中文句子没有空格 丁 한국어 단어 é plain 日本語".split()
+
+    def cut(word):
+        raw, at, n = word.encode(), 0, 0
+        while at < len(raw):
+            size = max((k for k in range(0 if n == 0 else 1, len(raw) - at + 1) if raw[at : at + k] in (first if n == 0 else inner)), default=None)
+            at, n = at + size, n + 1
+        return n
+
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_pieces"], r["n_unknown"]) for r in token_counts.count_pieces(docs, tokenizer).collect()}
+    assert got == {i: (cut(w), 0) for i, w in enumerate(words)}
+    assert got[3][0] > 5
+
+
 def test_piece_counts(edge_docs, no_docs, documents, texts, tokenizer):
     from threatloom.llm.tokens import tokenizer_source
 

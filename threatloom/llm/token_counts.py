@@ -27,7 +27,8 @@ CACHE_WORDS = 500_000
 class PieceAutomaton:
     """Greedy word-piece lengths over byte strings.
 
-    ``first`` are the pieces that may begin a word, ``inner`` those that may follow.
+    ``first`` are the pieces that may begin a word, ``inner`` those that may follow. An empty piece in ``first`` counts
+    as a piece before a word that begins with no other one.
     """
 
     def __init__(self, first, inner):
@@ -49,6 +50,9 @@ class PieceAutomaton:
                     accepts[node] = True
         self.fail += [-1] * len(parents)
         self.popped += [0] * len(parents)
+        if b"" in first:
+            # a word may begin with a piece without bytes of it (the bare blank): what follows is cut as inner pieces
+            self.fail[0], self.popped[0] = 1, 1
         level = [0, 1]
         while level:
             below = []
@@ -93,14 +97,17 @@ def byte_of_character() -> dict:
 
 
 def pieces_of_vocabulary(source: str) -> tuple:
-    """(first, inner) pieces of a byte-level vocabulary file: those with a blank in front begin words."""
+    """(first, inner) pieces of a byte-level vocabulary file: those with a blank in front begin words, the bare blank as an empty piece."""
     to_byte, first, inner = byte_of_character(), [], []
     spec = json.loads(source)
     special = {t["content"] for t in spec.get("added_tokens", [])}
     for piece in spec["model"]["vocab"]:
         if piece not in special:
             raw = bytes(to_byte[c] for c in piece)
-            (first if raw[:1] == b" " and len(raw) > 1 else inner).append(raw[1:] if raw[:1] == b" " and len(raw) > 1 else raw)
+            if raw[:1] == b" ":
+                first.append(raw[1:])
+            else:
+                inner.append(raw)
     return first, inner
 
 
