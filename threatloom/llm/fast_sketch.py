@@ -6,11 +6,11 @@ elements into bin i - t, so every coordinate is filled for every set with an ele
 of n elements. Coordinates of two sets agree with a probability of their Jaccard similarity.
 
 1. Equal sets are one node. Sketches are cut into bands; nodes that agree in a band share a bucket.
-2. Each node of a bucket is compared with the bucket's smallest node, so a group of near copies is
-   joined by as many pairs as it has nodes.
+2. Each node of a bucket is compared with one of them, the one that shares most buckets with others, so a group
+   of near copies is mostly joined by as many pairs as it has nodes.
 3. Buckets whose other nodes are not all one component by then hold pairs that were not compared. Their nodes
-   are compared by a prefix join: shingles in order of rarity among these nodes, the necessary first ones
-   as keys, bounds on sizes and positions. Nodes of one component meet as blocks and are not paired.
+   are compared by a prefix join: shingles in order of rarity among these nodes, the necessary first ones and
+   levels of size as keys, bounds on sizes and positions. Nodes of one component meet as blocks and are not paired.
 
 Every link is confirmed on the full sets of shingles (64-bit hashes). The number of bands follows from the
 threshold: two sets exactly that similar share no bucket with a probability of at most ``MISSED``.
@@ -40,6 +40,8 @@ BAND_ROWS, MISSED = 5, 1e-6
 # Bytes of text sketched at once, words a worker remembers, nodes of one block of a posting: memory only.
 STEP_BYTES, KNOWN_WORDS, BLOCK_NODES = 1 << 22, 300_000, 512
 EMPTY = ~np.uint64(0)
+# Ratio of the sizes of neighbouring levels in the prefix join.
+LEVEL = 1.02
 
 
 class WordHashes(dict):
@@ -165,30 +167,38 @@ def alike_sizes(a, b, percent: int):
 def prefix_pairs(points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``points`` (node, n, component) of different components that may be similar; none that is, is left out.
 
-    Of two sets, the smaller one needs a common shingle among its first ``n - ceil(need) + 1``, where ``need`` is
-    the intersection with a set of its own size, and the larger one among those for the smallest set it can be like.
+    The first common shingle of two similar sets, by rarity, leaves enough shingles after it in both. So a set is a
+    smaller partner by its first shingles as a set of equal size needs them, and at place ``p`` a larger partner only
+    of sets up to the size that ``p`` allows. Sizes are keys too, as levels ``LEVEL`` apart.
     """
+    p, whole = F.lit(percent), F.lit(100 + percent)
+    level = lambda size: F.floor(F.log(size) / log(LEVEL)).cast("int")
     shingles = materialized(points.join(sets, "node").select("node", "n", "component", F.explode("shingles").alias("token")))
     rarity = materialized(shingles.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
-    # tokens of one set alone come first and are no keys; only how many there are matters
-    ranked = shingles.join(rarity, "token")
-    listed = ranked.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
-    alone = F.col("n") - F.size("tokens")
-    need_equal = F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - 1e-9)
-    need_least = F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9)
-    keys = listed.select("node", "n", "component", alone.alias("alone"), (F.col("n") - need_equal + 1).alias("as_small"), (F.col("n") - need_least + 1).alias("as_large"), F.posexplode("tokens").alias("at", "t"))
-    keys = keys.select(F.col("t.token").alias("token"), "component", "node", "n", (F.col("at") + F.col("alone") + 1).alias("place"), "as_small", "as_large").where("place <= as_large")
-    keys = materialized(keys.withColumn("small", F.col("place") <= F.col("as_small")).drop("as_small", "as_large"))
-    met = keys.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    keys = keys.join(materialized(met), "token", "left_semi")
-    # blocks of nodes of one token and component, so that nodes of one component are not paired
-    sized = keys.groupBy("token", "component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
-    keys = keys.join(sized, ["token", "component"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    blocks = materialized(keys.groupBy("token", "component", "block").agg(F.collect_list(F.struct("node", "n", "place", "small")).alias("nodes")))
-    left = blocks.select("token", F.col("component").alias("ca"), F.expr("filter(nodes, x -> x.small)").alias("l")).where(F.size("l") > 0)
-    right = blocks.select("token", F.col("component").alias("cb"), F.col("nodes").alias("r"))
-    met = left.join(right, "token").where("ca <> cb").select("l", F.explode("r").alias("y")).select(F.explode("l").alias("x"), "y")
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent) - 1e-9)
+    # shingles of one set alone come first and are no keys; only how many there are matters
+    listed = shingles.join(rarity, "token").groupBy("node", "n", "component")
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    keys = listed.select("node", "n", "component", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode("tokens").alias("at", "t"))
+    keys = keys.select(F.col("t.token").alias("token"), "component", "node", "n", (F.col("alone") + F.col("at") + 1).alias("place"))
+    largest = F.least("n", F.floor(whole * (F.col("n") - F.col("place") + 1) / p - F.col("n") + 1e-9))
+    keys = keys.withColumn("lowest", F.ceil(p * F.col("n") / 100 - 1e-9)).withColumn("largest", largest).where("largest >= lowest")
+    small = keys.where((F.col("n") - F.col("place") + 1) * whole >= 2 * p * F.col("n")).withColumn("level", level("n"))
+    large = keys.withColumn("level", F.explode(F.sequence(level("lowest"), level("largest"))))
+    columns = ["token", "level", "component", "node", "n", "place"]
+    keys = small.select(F.lit(True).alias("small"), *columns).unionByName(large.select(F.lit(False).alias("small"), *columns))
+    keys = materialized(keys)
+    sides = [F.min("small").alias("larger"), F.max("small").alias("smaller"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    met = keys.groupBy("token", "level").agg(*sides).where("not larger and smaller and lo <> hi").select("token", "level")
+    keys = keys.join(materialized(met), ["token", "level"], "left_semi")
+    # blocks of nodes of one key and component, so that nodes of one component are not paired
+    own = ["token", "level", "component", "small"]
+    sized = keys.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    keys = keys.join(sized, own).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    blocks = materialized(keys.groupBy(*own, "block").agg(F.collect_list(F.struct("node", "n", "place")).alias("nodes")))
+    left = blocks.where("small").select("token", "level", F.col("component").alias("ca"), F.col("nodes").alias("l"))
+    right = blocks.where("not small").select("token", "level", F.col("component").alias("cb"), F.col("nodes").alias("r"))
+    met = left.join(right, ["token", "level"]).where("ca <> cb").select("l", F.explode("r").alias("y")).select(F.explode("l").alias("x"), "y")
+    need = F.ceil(p * (F.col("x.n") + F.col("y.n")) / whole - 1e-9)
     rest = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     order = F.struct(F.col("x.n"), F.col("x.node")) < F.struct(F.col("y.n"), F.col("y.node"))
     met = met.where(order & alike_sizes("x.n", "y.n", percent) & (rest >= need))
@@ -203,14 +213,19 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=3
     nodes = nodes.select("same", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"), "n", "keys")
     nodes = materialized(nodes.withColumn("node", F.monotonically_increasing_id()))  # a short name for each set
 
+    # only buckets of several nodes go on; the node that meets most others leads each of its buckets
     buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
-    lead = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    # only buckets of several nodes go on; the smallest node of a bucket meets the others
-    members = materialized(buckets.join(materialized(lead), "key").where("node <> lead.node").select("key", "size", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("m")))
+    sizes = materialized(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = materialized(buckets.join(sizes, "key"))
+    meets = materialized(members.groupBy("node").agg(F.sum("size").alias("meets")))
+    lead = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("lead"))
+    members = members.join(materialized(lead), "key").where("node <> lead.node")
+    members = materialized(members.select("key", "size", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("m")))
     pairs = materialized(members.where(alike_sizes("n", "m", percent)).select("a", F.col("node").alias("b")).distinct())
 
     def sets_of(names):
-        return materialized(full_sets(docs, nodes.select("node", "id", "digest").join(names, "node"), id_col, text_col, shingle))
+        wanted = materialized(nodes.select("node", "id", "digest").join(names, "node"))
+        return materialized(full_sets(docs, wanted, id_col, text_col, shingle))
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     found = materialized(components(materialized(confirmed(pairs, sets, percent))))
