@@ -3,11 +3,11 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontam, fast_sketch, html_text, license_scan, packing, quality, secret_scan, sharding, simhash, token_counts, token_store, whitening
+from threatloom.llm import alignment, decontam, fast_sketch, html_text, license_scan, packing, quality, secret_scan, sharding, simhash, token_counts, token_store, whitening
 from threatloom.llm.common import new_folder, table
 
-# The tokenizer file of the queries; operators take its path as a parameter.
-TOKENIZER = "byte_bpe_50k.json"
+# The tokenizer files of the queries; operators take their paths as parameters.
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -54,6 +54,11 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    paths = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    return alignment.align(table(spark, sf_dir, "documents"), *paths, hashed=True)[0].withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_embedding_whitening(spark, sf_dir):
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +67,7 @@ def op13_minhash(spark, sf_dir):
     return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_simhash, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_token_counts, op8_sharding, op9_token_store, op10_html_extraction, op12_embedding_whitening, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_simhash, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_token_counts, op8_sharding, op9_token_store, op10_html_extraction, op11_tokenizer_alignment, op12_embedding_whitening, op13_minhash)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
