@@ -206,9 +206,38 @@ def test_links_equal_nested_loops(spark):
     assert {k: v for k, v in edges.items() if k in last} == last
     counts = {r["etype"]: r["n"] for r in L.link_counts(links).collect()}
     assert counts == {n: list(last.values()).count(n) for n in set(last.values())}
+    assert {r["etype"]: r["n"] for r in L.deciding_counts(a, b).collect()} == counts
     assert L.link_pairs(L.link_by_day(a, b, "parity")).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["intended", "parity"])
+def test_deciding_counts_equal_pairs(spark, mode):
+    """Partners with several keys of a kind, indicators of several kinds, copies on both sides."""
+    draw = random.Random(12)
+    some = lambda pool, most: draw.sample(pool, draw.randint(0, most))
+    names = {"ip": [f"10.0.0.{i}" for i in range(6)], "file": ["/a", "/a/b", "/a/b/c", "/d", "/d/e"], "process": ["sh", "bash", "zsh", "cron"], "timestamp": ["d1", "d2", "d3"], "attack_stage": ["x", "y"]}
+    nodes = [(k, kind, i) for i, (kind, keys) in enumerate(names.items()) for k in keys]
+
+    def side(prefix, count, edges):
+        rows = []
+        for n in range(count):
+            for kind, etypes in edges.items():
+                rows += [(f"{prefix}{n}", k, draw.choice(etypes)) for k in some(names[kind], 2)]
+            if n % 3 == 0:
+                rows += [(f"{prefix}{n}copy", d, e) for s, d, e in rows if s == f"{prefix}{n}"]
+        # one edge kind for each pair, as in a graph
+        last = {(s, d): (s, d, e, i) for i, (s, d, e) in enumerate(rows)}
+        own = spark.createDataFrame(nodes, "key string, ntype string, ord long")
+        return Graph(own, spark.createDataFrame(list(last.values()), "src string, dst string, etype string, ord long"))
+
+    kinds = [L.BY_IP, L.BY_FILE, L.BY_PROCESS, L.BY_DAY, L.BY_STAGE]
+    a = side("r", 12, {k.kind: k.report_edges for k in kinds})
+    b = side("p", 25, {k.kind: k.alert_edges for k in kinds})
+    want = {r["etype"]: r["n"] for r in L.link_counts(L.merge_links(a, b, mode)[0]).collect()}
+    assert len(want) == (5 if mode == "intended" else 3)
+    assert {r["etype"]: r["n"] for r in L.deciding_counts(a, b, mode).collect()} == want
+
+
 def test_merge_prefers_reports_then_links(spark):
     a, b = small_sides(spark)
     links = L.merged_link_edges(*L.merge_links(a, b))

@@ -52,6 +52,12 @@ BY_STAGE = LinkKind(
 PARITY_EDGES = {"timestamp": ["report_at_timestamp"], "attack_stage": ["report_related_to_attack_stage"]}
 
 
+def _merge_kinds(mode) -> list:
+    """The link kinds of a merge, weakest first."""
+    kinds = [BY_IP, BY_FILE, BY_PROCESS] + ([BY_DAY, BY_STAGE] if mode == "intended" else [])
+    return sorted(kinds, key=lambda k: place(k.name))
+
+
 def _union(frames):
     return reduce(DataFrame.unionByName, frames)
 
@@ -171,7 +177,7 @@ def link_tables(a: Graph, b: Graph, mode="intended"):
     A pair is linked by ``place`` if it meets in an indicator; the largest place of a pair decides. The
     tables are as long as the graphs' edges, where single pairs would be a product.
     """
-    kinds = [BY_IP, BY_FILE, BY_PROCESS] + ([BY_DAY, BY_STAGE] if mode == "intended" else [])
+    kinds = _merge_kinds(mode)
     left, right = [], []
     for k in kinds:
         match = checkpointed(_matches(a, b, k))
@@ -180,6 +186,52 @@ def link_tables(a: Graph, b: Graph, mode="intended"):
     return _union(left).distinct(), _union(right).distinct()
 
 
+def deciding_counts(a: Graph, b: Graph, mode="intended") -> DataFrame:
+    """(etype, n): pairs that each link kind decides, as ``link_counts`` of ``merge_links`` without the stage links.
+
+    No pair is made. A partner's keys of one kind are a *part* (partners with the same keys share it), its parts
+    a profile, and profiles are counted for every combination of kinds. A report reaches parts by its own keys. Pairs
+    linked by the weakest kind of a combination and no stronger one follow by inclusion and exclusion: the combination
+    counts with the sign of its size for its weakest kind. Combinations grow kind by kind and go on only while
+    some partner has them, so the work follows the reports' own edges and not the partners behind them.
+    """
+    left, right = (checkpointed(t) for t in link_tables(a, b, mode))
+    places = [place(k.name) for k in _merge_kinds(mode)]
+    bit = F.element_at(F.create_map(*[F.lit(v) for i, p in enumerate(places) for v in (p, 1 << i)]), F.col("place"))
+    fold = lambda *columns: [F.bit_xor(F.xxhash64(*columns, F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)] + [F.count("*").alias("size")]
+    same = ["h1", "h2", "size"]
+
+    sets = checkpointed(right.withColumn("bit", bit).groupBy("dst", "bit").agg(*fold("at")))
+    parts = checkpointed(sets.groupBy("bit", *same).agg(F.min("dst").alias("dst")).withColumn("part", F.monotonically_increasing_id()))
+    of_partner = sets.join(parts.drop("dst"), ["bit", *same]).select("dst", "bit", "part")
+    keys = right.withColumn("bit", bit).join(parts.select("dst", "bit", "part"), ["dst", "bit"]).select("bit", "at", "part")
+    reach = checkpointed(left.withColumn("bit", bit).join(checkpointed(keys), ["bit", "at"]).select("src", "bit", "part").distinct())
+    # reports that reach the same parts are counted once, with their number
+    alike = reach.groupBy("src").agg(*fold("bit", "part")).groupBy(*same).agg(F.min("src").alias("src"), F.count("*").alias("reports"))
+    alike = checkpointed(alike.select("src", "reports").withColumn("report", F.monotonically_increasing_id()))
+    reach = checkpointed(reach.join(alike, "src").select("report", "reports", "bit", "part"))
+
+    columns = [f"part{i}" for i in range(len(places))]
+    only = lambda wanted, part: [F.when(wanted(1 << i), part(c)).otherwise(-1).alias(c) for i, c in enumerate(columns)]
+    profile = of_partner.groupBy("dst").agg(F.sum("bit").alias("has"), *[F.max(F.when(F.col("bit") == 1 << i, F.col("part"))).alias(c) for i, c in enumerate(columns)])
+    profile = profile.groupBy("has", *columns).agg(F.count("*").alias("partners"))
+    profile = profile.withColumn("mask", F.explode(F.sequence(F.lit(1), F.col("has").cast("int")))).where(F.col("mask").bitwiseAND(F.col("has")) == F.col("mask"))
+    profile = profile.select("mask", "partners", *only(lambda one: F.col("mask").bitwiseAND(F.lit(one)) > 0, F.col))
+    profile = checkpointed(profile.groupBy("mask", *columns).agg(F.sum("partners").alias("partners")))
+
+    found = []
+    state = reach.select("report", "reports", F.col("bit").alias("mask"), *only(lambda one: F.col("bit") == one, lambda c: F.col("part")))
+    for size in range(1, len(places) + 1):
+        met = checkpointed(state.join(profile, ["mask", *columns]))
+        found.append(met.groupBy("mask").agg(F.sum(F.col("reports") * F.col("partners") * (1 if size % 2 else -1)).alias("n")))
+        grown = met.drop("partners", "reports").join(reach, "report").where("bit > mask")
+        kept = [F.when(F.col("bit") == 1 << i, F.col("part")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)]
+        state = grown.select("report", "reports", (F.col("mask") + F.col("bit")).alias("mask"), *kept)
+    weakest = reduce(lambda x, i: F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(places[i])).otherwise(x), reversed(range(len(places))), F.lit(None))
+    counts = _union(found).groupBy(weakest.alias("place")).agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.groupBy(edge_kind("place").alias("etype")).agg(F.sum("n").cast("long").alias("n"))
+
+
 def link_by_ip(a: Graph, b: Graph, alerts_only=False) -> Links:
     """Reports and the alerts (and hosts) that share an address."""
     return _link(a, b, [BY_IP._replace(alert_edges=["alert_involves_ip"]) if alerts_only else BY_IP])
@@ -235,7 +287,7 @@ def merge_links(a: Graph, b: Graph, mode="intended"):
     Of several link kinds for one pair ip < file < day < process < stage decides. ``parity``
     leaves out the two links that never match in the plain reading.
     """
-    kinds = [BY_IP, BY_FILE, BY_PROCESS] + ([BY_DAY, BY_STAGE] if mode == "intended" else [])
+    kinds = _merge_kinds(mode)
     stages = shared_stage(a, b).unionByName(stages_same_day(a, b)).groupBy("src", "dst").agg(F.max("place").alias("place"))
     return _link(a, b, kinds), stages
 

@@ -133,9 +133,8 @@ _LAST = "(SELECT src, dst, arg_max(etype, o) AS etype FROM l_all GROUP BY 1, 2)"
 
 @query("g59_merge_links", linked_sql(f"SELECT etype, count(*) AS n FROM {_LAST} WHERE starts_with(etype, 'report_') GROUP BY 1"))
 def merge_links(spark, sf):
-    """Deciding link per pair, counted on groups."""
-    links, _ = L.merge_links(*both(spark, sf))
-    return L.link_counts(links)
+    """Deciding link per pair, counted without pairs."""
+    return L.deciding_counts(*both(spark, sf))
 
 
 @query("g59_merge_links_pairs", linked_sql(f"SELECT etype, count(*) AS n, {sql_checksum('src', 'dst')} FROM {_LAST} GROUP BY 1"))
