@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threatloom.operators.containment import containment_pairs
 from threatloom.operators.graph import Graph
-from threatloom.operators.pairs import blocked_join
+from threatloom.operators.pairs import blocked_join, broadcast_if_small
 from threatloom.operators.writes import PHASE, PLACES, edge_kind, place
 from threatloom.session import checkpointed
 
@@ -195,17 +195,22 @@ def deciding_counts(a: Graph, b: Graph, mode="intended") -> DataFrame:
     counts with the sign of its size for its weakest kind. Combinations grow kind by kind and go on only while
     some partner has them, so the work follows the reports' own edges and not the partners behind them.
     """
-    left, right = (checkpointed(t) for t in link_tables(a, b, mode))
-    places = [place(k.name) for k in _merge_kinds(mode)]
-    bit = F.element_at(F.create_map(*[F.lit(v) for i, p in enumerate(places) for v in (p, 1 << i)]), F.col("place"))
+    kinds = _merge_kinds(mode)
+    places = [place(k.name) for k in kinds]
     fold = lambda *columns: [F.bit_xor(F.xxhash64(*columns, F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)] + [F.count("*").alias("size")]
     same = ["h1", "h2", "size"]
+    with_bit = lambda frames: _union([f.withColumn("bit", F.lit(1 << i)) for i, f in enumerate(frames)])
 
-    sets = checkpointed(right.withColumn("bit", bit).groupBy("dst", "bit").agg(*fold("at")))
+    matches = [checkpointed(_matches(a, b, k)) for k in kinds]
+    touched = checkpointed(with_bit([_touches(b, k.alert_edges, m, "b_key", k) for k, m in zip(kinds, matches)]))
+    sets = checkpointed(touched.groupBy(F.col("key").alias("dst"), "bit").agg(*fold("at")))
     parts = checkpointed(sets.groupBy("bit", *same).agg(F.min("dst").alias("dst")).withColumn("part", F.monotonically_increasing_id()))
     of_partner = sets.join(parts.drop("dst"), ["bit", *same]).select("dst", "bit", "part")
-    keys = right.withColumn("bit", bit).join(parts.select("dst", "bit", "part"), ["dst", "bit"]).select("bit", "at", "part")
-    reach = checkpointed(left.withColumn("bit", bit).join(checkpointed(keys), ["bit", "at"]).select("src", "bit", "part").distinct())
+    keys = touched.join(parts.select(F.col("dst").alias("key"), "bit", "part"), ["key", "bit"]).select("bit", F.col("at").alias("b_key"), "part")
+    keys = checkpointed(with_bit(matches).join(keys, ["bit", "b_key"]).select("bit", "a_key", "part").distinct())
+    bit_of = F.create_map(*[F.lit(v) for i, k in enumerate(kinds) for e in k.report_edges for v in (e, 1 << i)])
+    into = a.edges.select("src", F.col("dst").alias("a_key"), bit_of[F.col("etype")].alias("bit")).where("bit is not null")
+    reach = checkpointed(into.join(broadcast_if_small(keys), ["bit", "a_key"]).select("src", "bit", "part").distinct())
     # reports that reach the same parts are counted once, with their number
     alike = reach.groupBy("src").agg(*fold("bit", "part")).groupBy(*same).agg(F.min("src").alias("src"), F.count("*").alias("reports"))
     alike = checkpointed(alike.select("src", "reports").withColumn("report", F.monotonically_increasing_id()))
