@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from oracle_check import rows_of
-from test_scans import plain_contamination, plain_measures
+from test_scans import near_copies, plain_contamination, plain_measures
 from test_simhash import similarity
 from test_tokens import check_packing, ids
 from threatloom.llm.queries import ORACLES, QUERIES
@@ -78,3 +78,13 @@ def test_pipeline_edges(spark, plain_docs):
                 assert out.columns == plain_docs.columns
                 docs = spark.createDataFrame(out.collect(), plain_docs.schema)
         out.collect()
+
+
+def test_one_of_a_group_of_near_copies_comes_through(spark):
+    """A hot host with a group of near copies: the first two stages keep exactly one of them and all others."""
+    rows = near_copies(60, "hot", 1000)
+    rows += [(i, "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(9)) for j in range(4)), "hot" if i % 3 else None, 0) for i in range(90)]
+    docs = spark.createDataFrame([(k, t, "en", h, len(t)) for k, t, h, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema)
+    assert sorted(r["doc_id"] for r in docs.collect()) == [*range(90), 1000]

@@ -262,6 +262,22 @@ def test_boilerplate_lines_go_and_depleted_documents_fail(spark):
     assert quality.clean_documents(docs).columns == docs.columns
 
 
+def near_copies(count, host, first):
+    """Texts of 20 common lines and one of their own."""
+    lines = [" ".join(f"common{i}word{j}" for j in range(8)) for i in range(20)]
+    return [(first + n, "\n".join([*lines[: n % 20], f"a line that only copy number {n} holds", *lines[n % 20 :]]), host, 0) for n in range(count)]
+
+
+@pytest.mark.parametrize("count", [50, 400])
+def test_near_copies_do_not_make_their_own_lines_boilerplate(spark, count):
+    other = [(i, "\n".join(["Read more on our front page every single day", *(" ".join(f"w{i}x{j}y{k}" for k in range(9)) for j in range(4))]), "h", 0) for i in range(300)]
+    docs = spark.createDataFrame(other + near_copies(count, "h", 1000), "doc_id long, text string, source string, n_chars long")
+    clean = {r["doc_id"]: r["text"] for r in quality.clean_documents(docs).collect()}
+    assert set(clean) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert all("front page" not in clean[i] for i in range(300))
+    assert clean[1003].count("\n") == 20
+
+
 # token counts
 
 

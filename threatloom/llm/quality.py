@@ -1,9 +1,11 @@
 """Quality rules: measures of each text, and line frequency across the documents of a host.
 
 Lines are normalised (lower case, single spaces) and hashed. A line is boilerplate on a host if more
-than ``max(least_docs, share * documents)`` distinct documents of the host hold it; equal texts are one
-document there, so copies do not make a text boilerplate. Boilerplate lines are removed, and a
-document that keeps too few of its words is rejected. What happens to a document depends on its
+than ``max(least_docs, share * documents)`` distinct documents of the host hold it. Equal texts are one
+document there, and so are near copies: a document with half of its words or more in lines that are frequent
+on the host is named by its middle line (by frequency, then hash, the one that holds its middle word), and documents of one
+name count once. So a group of copies that differ in a few lines does not make its own text boilerplate. Boilerplate
+lines are removed, and a document that keeps too few of its words is rejected. What happens to a document depends on its
 host and text only, so the verdict is joined back on these.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; a text without
@@ -11,14 +13,16 @@ line breaks is one line; repeated rows get equal answers; an empty table gives n
 are not read by the measures and stay in ``clean_documents``.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import LOWER, fresh, materialized, spaced_words, text_digest, text_rows, texts_of
+from threatloom.llm.common import LOWER, fresh, materialized, slices, spaced_words, text_digest, text_rows, texts_of
 from threatloom.operators.pairs import broadcast_if_small
 
 # A line on more documents of a host than this many and this share of them is boilerplate.
@@ -28,14 +32,16 @@ KEPT_WORDS = 0.2
 # Base rules: fewest words, and most percent of words in repeated windows of WINDOW words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
+# Bytes of text measured at once: bounds memory only.
+STEP_BYTES = 1 << 22
+
 _DROPPED = bytes(range(0x80, 0xC0)) + b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
 
 
 def line_key(line: bytes) -> int:
-    """Signed 64-bit hash of a normalised line."""
-    h = xxhash.xxh64_intdigest(b" ".join(line.translate(LOWER).split()))
-    return h - (1 << 64) if h >> 63 else h
+    """First 60 bits of the MD5 of a normalised line, as a number that is not negative."""
+    return int.from_bytes(hashlib.md5(b" ".join(line.translate(LOWER).split())).digest()[:8], "big") >> 4
 
 
 def repeated_words(words: list, window=WINDOW) -> int:
@@ -81,14 +87,18 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     """(row, id, host, digest, measures, lines): measures of each document and the hashes of its lines."""
     kind = docs.schema[id_col].dataType
     source = text_rows(docs, id_col, text_col, docs[host_col].cast("string").alias("host"), text_digest(docs[text_col]).alias("digest"))
-    arrow = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            rows = [text_measures(t) for t in texts_of(batch)]
-            numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-            lines = pa.array([[{"h": h, "n": n} for h, n in r[5].items()] for r in rows], arrow)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *numbers, lines], names=["id", "host", "digest", *MEASURES, "lines"])
+            texts = texts_of(batch)
+            for lo, hi in slices([len(t) for t in texts], STEP_BYTES):
+                rows = [text_measures(t) for t in texts[lo:hi]]
+                numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])]).astype(np.int32))
+                flat = [pa.array([x for r in rows for x in part(r[5])], pa.int64()) for part in (dict.keys, dict.values)]
+                lines = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["h", "n"]))
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), *numbers, lines], names=["id", "host", "digest", *MEASURES, "lines"])
 
     line = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
     schema = T.StructType(
@@ -102,15 +112,29 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 def boilerplate(made: DataFrame, least_docs=LEAST_DOCS, share=SHARE) -> DataFrame:
     """(host, h): lines that stand in too many distinct documents of their host.
 
-    Distinct documents are counted by adding up before and after the shuffle, so a host or line with a third
-    of all rows is spread over the tasks.
+    Documents are counted by adding up before and after the shuffle, so a host or line with a third of all rows is
+    spread over the tasks. Only lines that reach the limit with every document counted are looked at again.
     """
-    distinct = made.groupBy("host", "digest").agg(F.first("lines").alias("lines"))
-    lines = distinct.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    often = lines.where(F.col("n") > least_docs)
-    limit = F.greatest(F.lit(float(least_docs)), F.col("docs") * share)
-    over = often.join(broadcast_if_small(sizes.withColumnRenamed("host", "_host")), F.col("host").eqNullSafe(F.col("_host")))
+    distinct = made.groupBy("host", "digest").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words"))
+    distinct = materialized(distinct.withColumn("doc", F.monotonically_increasing_id()))
+    lines = distinct.select("host", "doc", "n_words", F.explode("lines").alias("l")).select("host", "doc", "n_words", "l.h", "l.n")
+    often = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > least_docs)
+    often = materialized(often.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "docs"))
+    lines = lines.join(broadcast_if_small(often), (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")))
+    lines = materialized(lines.select("host", "doc", "n_words", "h", "n", "docs"))
+    # the middle line: the first one, most frequent first, up to which half of the words stand
+    order = W.partitionBy("doc").orderBy(F.col("docs").desc(), "h").rowsBetween(W.unboundedPreceding, 0)
+    half = lines.withColumn("upto", F.sum("n").over(order)).where(2 * F.col("upto") >= F.col("n_words"))
+    named = materialized(half.groupBy("host", "doc").agg(F.min_by("h", "upto").alias("name")))
+    groups = named.select("host", "name").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("more"))
+    alone = distinct.join(named.select("doc"), "doc", "left_anti").groupBy("host").agg(F.count(F.lit(1)).alias("more"))
+    sizes = alone.unionByName(groups).groupBy(F.col("host").alias("_host")).agg(F.sum("more").alias("size"))
+    # a line's documents: groups of one name, and the documents without a name
+    held = lines.join(named.select("doc", "name"), "doc", "left")
+    held = held.groupBy("host", "h", "name").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("name").isNull(), F.col("n")).otherwise(1))
+    counts = held.groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") > least_docs)
+    limit = F.greatest(F.lit(float(least_docs)), F.col("size") * share)
+    over = counts.join(broadcast_if_small(materialized(sizes)), F.col("host").eqNullSafe(F.col("_host")))
     return materialized(over.where(F.col("n") > limit).select("host", "h"))
 
 

@@ -102,9 +102,14 @@ line AS (SELECT r, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
     translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
   FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, l, count(*) AS c FROM line GROUP BY r, l) GROUP BY r),
-often AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS c FROM line GROUP BY source, norm)
-  JOIN (SELECT source, count(DISTINCT t) AS docs FROM doc GROUP BY source) AS host USING (source)
-  WHERE c > greatest({quality.LEAST_DOCS}, {quality.SHARE} * docs)),
+uniq AS (SELECT source, t, min(r) AS r FROM doc GROUP BY source, t),
+held AS (SELECT r, source, norm, sum(n) AS n FROM line JOIN uniq USING (r, source) GROUP BY r, source, norm),
+top AS (SELECT *, substr(md5(norm), 1, 15) AS h FROM held JOIN (SELECT source, norm, count(*) AS c FROM held GROUP BY source, norm) USING (source, norm) WHERE c > {quality.LEAST_DOCS}),
+middle AS (SELECT r, arg_min(h, upto) AS name FROM (SELECT r, h, sum(n) OVER (PARTITION BY r ORDER BY c DESC, h) AS upto FROM top)
+  JOIN doc USING (r) WHERE 2 * upto >= len(w) GROUP BY r),
+host AS (SELECT source, count(DISTINCT coalesce(name, CAST(r AS VARCHAR) || ' alone')) AS docs FROM uniq LEFT JOIN middle USING (r) GROUP BY source),
+often AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT coalesce(name, CAST(r AS VARCHAR) || ' alone')) AS c FROM top LEFT JOIN middle USING (r) GROUP BY source, norm)
+  JOIN host USING (source) WHERE c > greatest({quality.LEAST_DOCS}, {quality.SHARE} * docs)),
 gone AS (SELECT r, sum(n) AS n FROM line JOIN often USING (source, norm) GROUP BY r),
 win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS s
   FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM doc WHERE len(w) >= 5)),

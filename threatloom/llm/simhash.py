@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from threatloom.llm.common import LOWER, fresh, materialized, mixed, text_digest, text_rows, texts_of
 from threatloom.llm.components import components
+from threatloom.llm.fast_sketch import confirmed, prefix_pairs
 from threatloom.operators.pairs import broadcast_if_small
 
 # Fingerprints of one BK-tree: what one task holds at a time.
@@ -234,7 +235,7 @@ SKETCH_WORDS, SKETCH_BITS = 5, 512
 # standard errors of a SimHash distance that are left to the exact comparison.
 BAND_ROWS, MISSED, ERRORS = 4, 0.001, 4
 # Uncertain pairs a text may list before what is certain by then is used to leave out others.
-FIRST_PAIRS = 8
+FIRST_PAIRS = 2
 
 
 def sketch_limits(similarity: float) -> tuple:
@@ -448,9 +449,19 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     links = materialized(links)
     found = components(links)
     if left:
-        # what is one group by now is not compared again; every other pair is
-        points = texts.join(found, "node", "left").select("node", F.col("component").alias("grp"), "keys", "sketch")
-        found = components(links.unionByName(linked(points, None)[0]))
+        # buckets that are one group by now hold nothing to compare; in the others no pair is left out that may be
+        # similar, but texts are met by their rare runs of words, so alike ones that are not similar enough make no pairs
+        found = materialized(found)
+        placed = texts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key"))
+        placed = materialized(placed)
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        points = materialized(placed.join(materialized(several), "key", "left_semi").select("node", "component").distinct())
+        sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(points.select("node"), "node"), id_col, text_col))
+        sets = sets.withColumnRenamed("runs", "shingles")
+        sized = points.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node").where("n > 0")
+        percent = round(100 * similarity)
+        more = confirmed(materialized(prefix_pairs(materialized(sized), sets, percent)), sets, percent)
+        found = components(links.unionByName(more))
     rows_of = made.groupBy("digest", F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
     first = texts.join(rows_of, "digest").where(F.col("id").eqNullSafe(F.col("_id")))
     return first.join(found, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
