@@ -94,6 +94,24 @@ def test_sampled_edges(spark):
     assert not {tuple(r[c] for c in edges.columns) for r in clean} & true
 
 
+def test_sampled_edges_are_uniform_and_repeatable(spark):
+    """Draws with replacement: as many repeats as chance gives, every edge equally often, any partitioning."""
+    edges = spark.range(30).selectExpr("'a' as src_type", "'e' as etype", "'b' as dst_type", "id as src_id", "id * 7 as dst_id")
+    ids = spark.range(300).selectExpr("case when id < 30 then 'a' else 'b' end as ntype", "id as local_id")
+    drawn = lambda df, seed: sorted((r["j"], r["src_id"], r["dst_id"]) for r in P.sample_edges(df, ids, 60, seed).where("label = 1").collect())
+    assert drawn(edges.repartition(5), 3) == drawn(edges.coalesce(1), 3)
+    counts, distinct = np.zeros(30), []
+    for seed in range(25):
+        rows = drawn(edges, seed)
+        assert [r[0] for r in rows] == list(range(60)) and all(d == 7 * s for _, s, d in rows)
+        distinct.append(len({r[1] for r in rows}))
+        for _, s, _ in rows:
+            counts[s] += 1
+    # 50 draws an edge on average; 30 edges of which 60 draws leave out 3.9
+    assert np.mean(distinct) == pytest.approx(30 * (1 - (29 / 30) ** 60), abs=1.0)
+    assert ((counts - 50) ** 2 / 50).sum() < 2 * 60
+
+
 def curves(scores, labels):
     """ROC area by comparing all pairs; precision steps threshold by threshold."""
     pos, neg = scores[labels == 1], scores[labels == 0]

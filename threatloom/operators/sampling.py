@@ -1,6 +1,7 @@
 """Pair labels and samples."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatloom.operators.pairs import blocked_join
@@ -117,21 +118,28 @@ def sample_edges(edges: DataFrame, ids: DataFrame, k=100, seed=0, test=False, ex
     """Per canonical edge type ``k`` edges drawn with replacement and ``k`` random node pairs.
 
     ``edges`` is (src_type, etype, dst_type, src_id, dst_id) and ``ids`` (ntype, local_id).
-    ``test`` draws no more than there are edges; ``exclude_true`` drops negatives that are edges.
-    Draws are hashed numbers looked up in dense edge numbers.
+    ``test`` draws no more than there are edges; ``exclude_true`` drops negatives that are edges. Each draw is a hashed
+    number below the number of edges, and draws of one number share an edge: the first number takes the edge of
+    the smallest hash, the next new number the next one. So the edges with the ``k`` smallest hashes are all that
+    is shuffled, kept per task before it, and the result depends on the seed and not on the partitioning.
     """
     kind = ["src_type", "etype", "dst_type"]
-    numbered = dense_index(edges.select(*kind, "src_id", "dst_id"), ["src_id", "dst_id"], kind, "i")
+    edges = checkpointed(edges.select(*kind, "src_id", "dst_id"))
     sizes = edges.groupBy(*kind).agg(F.count("*").alias("n_edges"))
     nodes = ids.groupBy("ntype").agg(F.count("*").alias("n"))
     many = F.least(F.lit(k).cast("long"), F.col("n_edges")) if test else F.lit(k).cast("long")
     draws = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("j"))
     at = lambda salt, n: F.pmod(F.xxhash64(*kind, "j", F.lit(seed), F.lit(salt)), F.col(n))
-    pos = draws.select(*kind, "j", at(0, "n_edges").alias("i")).join(numbered, [*kind, "i"])
-    pos = pos.select(*kind, "j", "src_id", "dst_id", F.lit(1).alias("label"))
+    of_kind = lambda *order: W.partitionBy(*kind).orderBy(*order)
+    numbers = draws.select(*kind, "j", at(0, "n_edges").alias("number"))
+    first_drawn = numbers.groupBy(*kind, "number").agg(F.min("j").alias("first"))
+    numbers = numbers.join(first_drawn.withColumn("i", F.row_number().over(of_kind("first"))), [*kind, "number"])
+    hashed = edges.withColumn("h", F.xxhash64("src_id", "dst_id", F.lit(seed)))
+    least = hashed.withColumn("i", F.row_number().over(of_kind("h", "src_id", "dst_id"))).where(F.col("i") <= k)
+    pos = numbers.join(least.drop("h"), [*kind, "i"]).select(*kind, "j", "src_id", "dst_id", F.lit(1).alias("label"))
     count = lambda side: nodes.select(F.col("ntype").alias(f"{side}_type"), F.col("n").alias(f"n_{side}"))
     neg = draws.join(count("src"), "src_type").join(count("dst"), "dst_type")
     neg = neg.select(*kind, "j", at(1, "n_src").alias("src_id"), at(2, "n_dst").alias("dst_id"), F.lit(0).alias("label"))
     if exclude_true:
-        neg = neg.join(edges.select(*kind, "src_id", "dst_id"), [*kind, "src_id", "dst_id"], "left_anti").select(*pos.columns)
+        neg = neg.join(edges, [*kind, "src_id", "dst_id"], "left_anti").select(*pos.columns)
     return pos.unionByName(neg)
