@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import materialized, text_rows, texts_of
-from threatloom.llm.tokens import encoded_batches, tokenizer_source
+from threatloom.llm.common import lean, materialized, text_rows, texts_of
+from threatloom.llm.tokens import encoded_batches, encoder, tokenizer_source
 
 # Documents of one packing group on average: what one task holds, and enough for little padding.
 GROUP_DOCS = 20_000
@@ -52,8 +52,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple:
     return bins, offsets
 
 
-def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=1024, end_id=0) -> DataFrame:
-    """(id, doc_tokens, crcs): token count with the end id, and a CRC-32 for each cut of ``capacity`` ids."""
+def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=1024, end_id=0, keep_cache=True) -> DataFrame:
+    """(id, doc_tokens, crcs): token count with the end id, and a CRC-32 for each cut of ``capacity`` ids.
+
+    Without ``keep_cache`` a worker forgets the pieces it knows when its task ends, for jobs that go on with other work.
+    """
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer_path))
 
     def encode(batches):
@@ -66,8 +69,15 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
                 columns = [ids.slice(lo, hi - lo), pa.array(counts + 1, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_tokens", "crcs"])
 
+    def encode_and_forget(batches):
+        try:
+            yield from encode(batches)
+        finally:
+            encoder.cache_clear()
+
+    encode_task = encode if keep_cache else lean(encode_and_forget)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))])
-    return text_rows(docs, id_col, text_col).mapInArrow(encode, schema)
+    return text_rows(docs, id_col, text_col).mapInArrow(encode_task, schema)
 
 
 def pack_pieces(cut: DataFrame, capacity=1024, group_docs=GROUP_DOCS) -> DataFrame:
@@ -102,7 +112,7 @@ def pack_pieces(cut: DataFrame, capacity=1024, group_docs=GROUP_DOCS) -> DataFra
     return dealt.groupBy("grp").applyInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=1024, end_id=0, group_docs=GROUP_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=1024, end_id=0, group_docs=GROUP_DOCS, keep_cache=True) -> DataFrame:
     """One row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    cut = materialized(document_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id))
+    cut = materialized(document_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, keep_cache))
     return pack_pieces(cut, capacity, group_docs).withColumnRenamed("id", id_col)

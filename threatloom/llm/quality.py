@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import LOWER, fresh, materialized, slices, spaced_words, text_digest, text_rows, texts_of
+from threatloom.llm.common import LOWER, fresh, lean, materialized, slices, spaced_words, text_digest, text_rows, texts_of
 from threatloom.operators.pairs import broadcast_if_small
 
 # A line on more documents of a host than this many and this share of them is boilerplate.
@@ -106,7 +106,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         + [T.StructField(c, T.LongType()) for c in MEASURES]
         + [T.StructField("lines", T.ArrayType(line))]
     )
-    return materialized(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    return materialized(source.mapInArrow(lean(run), schema).withColumn("row", F.monotonically_increasing_id()))
 
 
 def boilerplate(made: DataFrame, least_docs=LEAST_DOCS, share=SHARE) -> DataFrame:
@@ -184,5 +184,5 @@ def clean_documents(docs: DataFrame, id_col="doc_id", text_col="text", host_col=
             columns = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = kept.mapInArrow(run, docs.schema)
+    out = kept.mapInArrow(lean(run), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col else out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import LOWER, fresh, materialized, mixed, text_digest, text_rows, texts_of
+from threatloom.llm.common import LOWER, fresh, lean, materialized, mixed, text_digest, text_rows, texts_of
 from threatloom.llm.components import components
 from threatloom.llm.fast_sketch import confirmed, prefix_pairs
 from threatloom.operators.pairs import broadcast_if_small
@@ -387,7 +387,7 @@ def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int)
                     bucket.insert(row[0], row[1], part, row[2])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "more"])
 
-    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInArrow(run, "a long, b long, more long")
+    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInArrow(lean(run), "a long, b long, more long")
 
 
 def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -401,7 +401,7 @@ def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
     names = wanted.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
     rows = rows.join(names, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, runs array<long>")
+    return rows.dropDuplicates(["node"]).mapInArrow(lean(run), "node long, runs array<long>")
 
 
 def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, shard_rows=SHARD_ROWS, first_pairs=FIRST_PAIRS) -> DataFrame:
@@ -427,7 +427,7 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
 
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", kind), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
-    made = materialized(rows.mapInArrow(run, schema))
+    made = materialized(rows.mapInArrow(lean(run), schema))
     texts = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     texts = materialized(texts.withColumn("node", F.monotonically_increasing_id()))  # a short name for each text
 
