@@ -235,7 +235,7 @@ SKETCH_WORDS, SKETCH_BITS = 5, 512
 # standard errors of a SimHash distance that are left to the exact comparison.
 BAND_ROWS, MISSED, ERRORS = 4, 0.001, 4
 # Uncertain pairs a text may list before what is certain by then is used to leave out others.
-FIRST_PAIRS = 2
+FIRST_PAIRS = 4
 
 
 def sketch_limits(similarity: float) -> tuple:
@@ -348,7 +348,7 @@ class Bucket(Shard):
 
 
 def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int) -> DataFrame:
-    """Pairs (a, b, more) of ``points`` (node, grp, keys, sketch) to compare: equal in a key and within ``far`` bits.
+    """Pairs (a, b, more, key) of ``points`` (node, grp, keys, sketch) to compare: equal in ``key`` and within ``far`` bits.
 
     Left out are pairs whose nodes other pairs within ``sure`` bits or an equal ``grp`` join, and, if
     ``most`` is given, pairs beyond that many of a node; ``more`` says how many these are.
@@ -365,7 +365,7 @@ def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int)
         bucket, at, waiting = None, None, None
         for batch in batches:
             key, tree, guest, node, grp, sketch = (batch.column(i).to_pylist() for i in range(6))
-            a, b, more = [], [], []
+            a, b, more, where = [], [], [], []
             for i in range(len(key)):
                 row = (int.from_bytes(sketch[i], "little"), node[i], grp[i], guest[i])
                 if (key[i], tree[i]) != at:
@@ -381,13 +381,14 @@ def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int)
                     a.append(row[1])
                     b.append(bucket.nodes[x])
                     more.append(0)
+                    where.append(key[i])
                 if bucket.more > before:
                     more[-1] = bucket.more - before
                 if not row[3]:
                     bucket.insert(row[0], row[1], part, row[2])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64()), pa.array(where, pa.int64())], names=["a", "b", "more", "key"])
 
-    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInArrow(lean(run), "a long, b long, more long")
+    return rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInArrow(lean(run), "a long, b long, more long, key long")
 
 
 def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -432,9 +433,9 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     texts = materialized(texts.withColumn("node", F.monotonically_increasing_id()))  # a short name for each text
 
     def linked(points, most):
-        """Pairs of ``points`` that are similar, and how many pairs are not compared yet."""
+        """Pairs of ``points`` that are similar, and the buckets that hold pairs not compared yet."""
         pairs = materialized(bucket_pairs(points, *sketch_limits(similarity), most, shard_rows))
-        left = pairs.agg(F.sum("more")).first()[0] or 0
+        left = materialized(pairs.where("more > 0").select("key").distinct())
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(nodes, "node"), id_col, text_col))
@@ -448,12 +449,12 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     links, left = linked(texts.select("node", no_group, "keys", "sketch"), first_pairs)
     links = materialized(links)
     found = components(links)
-    if left:
+    if not left.isEmpty():
         # buckets that are one group by now hold nothing to compare; in the others no pair is left out that may be
         # similar, but texts are met by their rare runs of words, so alike ones that are not similar enough make no pairs
         found = materialized(found)
         placed = texts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key"))
-        placed = materialized(placed)
+        placed = materialized(placed.join(broadcast_if_small(left), "key", "left_semi"))
         several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         points = materialized(placed.join(materialized(several), "key", "left_semi").select("node", "component").distinct())
         sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(points.select("node"), "node"), id_col, text_col))
