@@ -7,8 +7,8 @@ prefix shingles are joined. The length bound asks that the window fits into the
 positional bound that it fits at the place the prefix gives it, and the words there are then
 compared exactly.
 
-Which shingles to look for is sent to the tasks as a bit table of fixed size, whatever the number
-of items; the join itself is a Spark join on the shingle.
+Which shingles to look for is sent to the tasks as a bit table, sized by their number and never above
+16 MB; the join itself is a Spark join on the shingle.
 
 Defined results: null texts have no words; an item with fewer words than a window is one window;
 an item without words has none; items that share a window all count; repeated documents are
@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from threatloom.llm.common import alnum_words, fresh, materialized, mixed, text_digest, text_rows, texts_of
 from threatloom.operators.pairs import broadcast_if_small
 
-# Bits of the table of wanted shingles: 2 MB, a proven size for any benchmark.
-TABLE_BITS = 1 << 24
+# Bits of the table of wanted shingles: 64 for each, from 8 KB to 16 MB. Beyond two million shingles it is
+# fuller, and the join drops what passes needlessly.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def word_hash(words: list) -> np.ndarray:
@@ -67,18 +68,22 @@ def item_windows(items: DataFrame, item_col="item_id", text_col="text", window=1
     return text_rows(items, item_col, text_col).mapInArrow(run, schema)
 
 
-def bit_table(hashes: DataFrame):
-    """Bits of the wanted hashes (column ``g``), ORed over all tasks into one table of fixed size."""
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Bits of the wanted hashes (column ``g``), ORed over all tasks; their number follows the hashes, within bounds."""
+    wanted = materialized(hashes.select("g").distinct())
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (64 * wanted.count()).bit_length()))
+
     def run(batches):
-        bits = np.zeros(TABLE_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(TABLE_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(size)
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    table = np.zeros(TABLE_BITS // 8, np.uint8)
-    for row in hashes.select("g").distinct().coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    table = np.zeros(size // 8, np.uint8)
+    for row in wanted.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         table |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    return np.unpackbits(table).astype(bool)
+    return table
 
 
 def wanted_places(table: np.ndarray, words: list, sizes) -> dict:
@@ -87,7 +92,8 @@ def wanted_places(table: np.ndarray, words: list, sizes) -> dict:
     found = {}
     for size in sizes:
         grams = shingles_of(hashed, size)
-        at = np.flatnonzero(table[grams % np.uint64(len(table))])
+        bits = grams % np.uint64(8 * len(table))
+        at = np.flatnonzero(table[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & np.uint8(1))
         found[size] = (at, grams[at])
     return found
 
@@ -100,10 +106,10 @@ def shingle_sizes(windows: DataFrame, shingle: int) -> list:
 def shingle_counts(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list) -> DataFrame:
     """(g, n): how often each shingle of the windows occurs in all documents."""
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(np.packbits(bit_table(windows.select(F.explode("shingles").alias("g")))))
+    table = context.broadcast(bit_table(windows.select(F.explode("shingles").alias("g"))))
 
     def run(batches):
-        bits, sums, held = np.unpackbits(table.value).astype(bool), [], 0
+        bits, sums, held = table.value, [], 0
         for batch in batches:
             for text in texts_of(batch):
                 for _, grams in wanted_places(bits, alnum_words(text), sizes).values():
@@ -135,12 +141,12 @@ def prefixed(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def window_hits(docs: DataFrame, prefixes: DataFrame, id_col: str, text_col: str, window: int, sizes: list) -> tuple:
     """(row, id, digest, n_words) of all documents, and (row, words, first, size) of the places where a window stands."""
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(np.packbits(bit_table(prefixes.select(F.col("prefix").alias("g")))))
+    table = context.broadcast(bit_table(prefixes.select(F.col("prefix").alias("g"))))
     # what stands around a place is sent along: enough words on both sides for any window
     reach = window
 
     def run(batches):
-        bits = np.unpackbits(table.value).astype(bool)
+        bits = table.value
         for batch in batches:
             ids = batch.column(0)
             n_words, places = [], []
@@ -185,7 +191,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_
     """
     windows = materialized(item_windows(items, item_col, item_text_col, window, shingle))
     sizes = shingle_sizes(windows, shingle)
-    prefixes = materialized(prefixed(windows, shingle_counts(docs, windows, text_col, sizes)))
+    counts = materialized(shingle_counts(docs, windows, text_col, sizes))  # written: the choice of join counts its rows first
+    prefixes = materialized(prefixed(windows, counts))
     rows, hits = window_hits(docs, prefixes, id_col, text_col, window, sizes)
     hits = materialized(hits)
     spans = hits.select("row", F.struct("first", (F.col("first") + F.col("size")).alias("end")).alias("s")).distinct()

@@ -6,7 +6,7 @@ added up by diagonal, neighbouring diagonals are merged (inserted or missing wor
 few), and a merged span is verified: its words, compared as text, must cover enough of the template.
 A template with fewer words than ``k`` is one gram, so a short phrase is found exactly.
 
-The bit table that tells which grams are worth sending to the join has a fixed size.
+The bit table that tells which grams are worth sending to the join has a bounded size.
 
 Defined results: a null text has no words; overlapping and repeated places all count; repeated
 documents are answered row by row; an empty table gives no rows; other columns are not read.
@@ -78,15 +78,16 @@ def license_spans(docs: DataFrame, templates: DataFrame = None, id_col="doc_id",
     """(row, id, n_words) of all documents, and their verified spans.
 
     Spans: (row, label, template, exact, first, end, votes, score), words from 0, end exclusive. Diagonals at
-    most ``slack`` words apart are merged; ``score`` is the share of the template's words that are covered.
+    most ``slack`` words apart are merged; ``score`` is the share of the template's words that are covered. Copies in
+    a row are matches of their own; a merged group that grows beyond twice a template is cut, and its parts may overlap.
     """
     spark = docs.sparkSession
     grams = materialized(template_grams(license_templates(spark) if templates is None else templates, k))
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
-    table = spark.sparkContext.broadcast(np.packbits(bit_table(grams.select("g"))))
+    table = spark.sparkContext.broadcast(bit_table(grams.select("g")))
 
     def run(batches):
-        bits = np.unpackbits(table.value).astype(bool)
+        bits = table.value
         for batch in batches:
             n_words, places = [], []
             for text in texts_of(batch):
@@ -109,15 +110,23 @@ def license_spans(docs: DataFrame, templates: DataFrame = None, id_col="doc_id",
     diagonals = votes.withColumn("diagonal", F.col("p") - F.col("pos")).groupBy(*key, "diagonal").agg(
         F.count(F.lit(1)).alias("votes"), F.min("p").alias("first"), (F.max("p") + F.col("size")).alias("end"), F.collect_set("pos").alias("places")
     )
+    # the next copy of a template stands its length or more away, so diagonals that far apart are never one match
+    near = F.when(F.col("exact"), 0).otherwise(F.least(F.lit(slack), F.col("n") - 1))
     in_order = Window.partitionBy(*key).orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(in_order) <= F.when(F.col("exact"), 0).otherwise(slack), 0).otherwise(1)
+    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(in_order) <= near, 0).otherwise(1)
     merged = diagonals.withColumn("apart", apart).withColumn("match", F.sum("apart").over(in_order))
-    spans = merged.groupBy(*key, "match").agg(
+    whole = Window.partitionBy(*key, "match")
+    drift = F.col("diagonal") - F.min("diagonal").over(whole)
+    long = F.max("diagonal").over(whole) - F.min("diagonal").over(whole) > F.col("n")
+    # a group that drifts over more than a template is cut at every template's length, on two grids half of that apart
+    cut = lambda shift: F.struct(F.lit(shift).alias("grid"), F.floor((drift + shift * F.ceil(F.col("n") / 2)) / F.col("n")).alias("part"))
+    merged = merged.withColumn("cuts", F.when(long, F.array(cut(0), cut(1))).otherwise(F.array(F.struct(F.lit(0).alias("grid"), F.lit(0).cast("long").alias("part")))))
+    spans = merged.withColumn("cut", F.explode("cuts")).groupBy(*key, "match", "cut").agg(
         F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     spans = spans.withColumn("score", covered / F.col("n")).where((F.col("score") >= F.when(F.col("exact"), 1.0).otherwise(share)))
-    spans = spans.where(F.col("end") - F.col("first") <= 2 * F.col("n"))
+    spans = spans.dropDuplicates([*key, "first", "end"])
     return found.select("row", "id", "n_words"), spans.select("row", "label", "template", "exact", "first", "end", "votes", "score")
 
 
