@@ -5,7 +5,7 @@ repeats, keyboard walks and brute-force spans so that the guesses to find it are
 programming over places). If even that many guesses are out of reach, the value is a secret.
 
 Defined results: a null or empty text has no spans; every text is scanned whole; the work for a
-value is linear in its length; spans of one kind do not overlap, those of two kinds may; repeated rows
+value is linear in its length; a path, an address or a name in code is judged by its parts; spans of one kind do not overlap, those of two kinds may; repeated rows
 are answered one by one; an empty table gives no rows; other columns are not read.
 """
 
@@ -52,6 +52,11 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
+# Paths and addresses (a scheme, a root, a home, a drive, or folders named by words), dotted names of code, and what cuts them.
+PLACE = re.compile(r"(?ai)[a-z][a-z0-9+.-]*://|(?:~|\.{1,2})?/(?=[a-z._-]+/)|[a-z]:[\\/]|[a-z_]{3,}(?:/[a-z_.-]{2,})+/?\Z")
+NAME = re.compile(r"(?a)[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
+PARTS = re.compile(r"[/\\?&=#:@.]+")
+
 # Bits of guesses from which a value counts as a secret, and the shortest value looked at.
 SECRET_BITS, SECRET_CHARS = 40.0, 8
 
@@ -145,6 +150,17 @@ def guess_bits(value: str, ranks=None) -> float:
     return best[-1]
 
 
+def value_bits(value: str, after: str, ranks=None) -> float:
+    """``guess_bits`` of a context value; of a path, an address or a name in code, that of its costliest part.
+
+    Such a value is made of separators and parts that are no secret together, however long it is: it
+    is one only if a part is (a key in an address, a password before its ``@``). ``after`` is the character behind it.
+    """
+    if PLACE.match(value) or after in ("[", "(") and NAME.fullmatch(value):
+        return max((guess_bits(part, ranks) for part in PARTS.split(value) if part), default=0.0)
+    return guess_bits(value, ranks)
+
+
 def secret_spans(text: bytes, ranks=None) -> list:
     """(kind, start, end, value start, bits) in one text: code points, end exclusive, in order of start and kind.
 
@@ -178,7 +194,7 @@ def secret_spans(text: bytes, ranks=None) -> list:
             if base and values[at][0] <= a and b <= values[at][1] or not base and len(value) < SECRET_CHARS:
                 continue
             ranks = ranks or prose_words()
-            bits = guess_bits(value, ranks)
+            bits = value_bits(value, whole[b : b + 1], ranks)
             if base or bits >= SECRET_BITS:
                 out.append(("guess", a, b, a, bits))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
