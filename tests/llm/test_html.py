@@ -38,6 +38,92 @@ def test_density_picks_the_article_without_marked_elements():
     assert text.count("\n") == 4 and "link number" not in text
 
 
+STORY = "<article>%s<h1>Headline</h1><p>" + "A sentence of the article goes here. " * 6 + "</p></article>"
+WANT = "Headline\n" + ("A sentence of the article goes here. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="content-sidebar-wrap">%s</div>', '<div class="has-sidebar">%s</div>', '<div class="social issues">%s</div>', '<div id="page-with-comments"><div>%s</div></div>',
+        '<form id="aspnetForm">%s</form>', '<div role="form">%s<div class="sidebar">Not this one.</div></div>',
+    ],
+)
+def test_wrappers_of_the_whole_article_stay(around):
+    assert html_text.main_text(PAGE % (around % (STORY % ""))) == WANT
+
+
+def test_headers_in_an_article_and_hidden_parts():
+    assert html_text.main_text(PAGE % (STORY.replace("<h1>Headline</h1>", '<header class="entry-header"><h1>Headline</h1></header>') % "")) == WANT
+    assert html_text.main_text(PAGE % (STORY.replace("<h1>Headline</h1>", '<div class="article-header"><h1>Headline</h1></div>') % "")) == WANT
+    assert html_text.main_text(PAGE % (STORY % "<a hidden>not seen</a><p hidden=''>nor this</p><p aria-hidden='true'>nor that</p>")) == WANT
+    notes = "".join(f"<article class='comment'><p>{'A reader wrote quite a lot about it. ' * 9}</p></article>" for _ in range(4))
+    for around in ("%s", "<section class='comment-list'>%s</section>"):
+        assert html_text.main_text(PAGE % ((STORY % "") + around % notes)) == WANT
+    advert = '<div class="ad">An advert that is longer than the short story.</div><article><h1>Short</h1></article>'
+    assert html_text.main_text(f"<body>{advert}</body>") == "Short"
+
+
+def test_sibling_articles_are_all_returned():
+    teaser = '<div><article><a href="/1">Another story</a></article><article><a href="/2">And one more</a></article></div>'
+    assert html_text.main_text(PAGE % ((STORY % "") * 3 + teaser)) == "\n".join([WANT] * 3)
+
+
+def plain_density(node):
+    """(density by the formula, from whole walks of the subtree) of a node; counts what ``weigh`` adds up."""
+    def walk(n, linked):
+        c = sum(len(x.replace(" ", "").replace("\n", "")) for x in n.children if isinstance(x, str))
+        linked = linked or n.tag == "a"
+        sums = [c, 0, c if linked else 0, 0]
+        for child in n.children:
+            if not isinstance(child, str) and not child.out:
+                below = walk(child, linked)
+                sums = [a + b for a, b in zip(sums, (below[0], below[1] + 1, below[2], below[3] + (linked or child.tag == "a")))]
+        return sums
+
+    return walk(node, False)
+
+
+def test_densities_equal_plain_walks():
+    import math
+    import random
+
+    rng = random.Random(4)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randint(0, 12)
+        tag = rng.choice(["div", "section", "b", "ul", "a"])
+        return f"<{tag}>" + "".join(some(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        _, nodes = html_text.parse(f"<body>{some(5)}{some(4)}</body>")
+        html_text.weigh(nodes)
+        body = next(n for n in nodes if n.tag == "body")
+        plain = {id(n): plain_density(n) for n in nodes}
+        c, _, lc, _ = plain[id(body)]
+        share = lc / c if c else 0.0
+        inside = set()
+        for n in nodes:
+            if n.parent is not None and (n.parent.tag == "a" or id(n.parent) in inside):
+                inside.add(id(n))  # links in links are broken markup, counted by the outermost
+        density = {}
+        for n in nodes:
+            c, t, lc, lt = plain[id(n)]
+            if n.tag == "a":
+                lt += 1
+            if c and id(n) not in inside and n.chars:
+                assert (n.chars, n.tags) == (c, t)
+                assert n.link_chars == lc
+                t, lt = max(1, t), n.link_tags
+                density[id(n)] = c / t * math.log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / math.log(c / max(1, c - lc) * lc + share * c + math.e)
+                assert n.density == pytest.approx(density[id(n)])
+        for n in nodes:
+            if id(n) in density:
+                sums = sum(x.density for x in n.children if not isinstance(x, str) and not x.out and x.tag not in html_text.INLINE)
+                assert n.sum == pytest.approx(sums or n.density)
+
+
 def test_odd_pages():
     assert html_text.main_text("") == html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("plain &amp; text") == "plain & text"

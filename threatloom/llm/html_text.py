@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are known by tag, role or class words and left out. For every other node the
+styles and reader comments are known by tag, role or class name and left out, unless most of the page's
+text lies in them (a form or wrapper around the whole page); headers inside an article stay. For every other node the
 composite density is its characters per tag, adjusted for characters and tags inside links; the
 density sum of a node adds up the densities of its children. From the body, the path to the node with
 the largest sum gives the threshold (the smallest density on it); in every branch that reaches the
@@ -41,6 +42,15 @@ LEFT_OUT_WORDS = frozenset(
     "sidebar sidebars aside footer foot header masthead topbar toolbar notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe "
     "subscription signup login comment comments commentlist discussion disqus respond replies reply share sharing social related recommended pagination pager skip".split()
 )
+# Words that may stand beside these in the name of a class and leave its meaning as it is.
+BESIDE_WORDS = frozenset(
+    "site page top bottom left right main global primary secondary inner outer wrap wrapper container box block area section widget bar list item items links link "
+    "banner text message policy form button buttons icons header head section col column content fixed sticky mobile desktop posts articles stories thread reader user".split()
+)
+# Reader comments stay out even where they are most of the text.
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus respond replies reply".split())
+# Elements that may be around a whole page.
+AROUND = frozenset("form fieldset label".split())
 # Markup inside a line: part of the element around it, no subtree to choose.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
@@ -59,32 +69,52 @@ SIBLINGS = {
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def left_out(tag: str, attributes: str) -> bool:
-    """Elements that are not part of an article, by tag, role, class or id."""
-    if tag in LEFT_OUT:
-        return True
-    if attributes and tag not in ("html", "body", "article", "main"):
+# How an element is left out: for good, or unless it holds most of the page's text.
+OUT, OUT_IF_SMALL = 2, 1
+
+
+def class_words(value: str) -> set:
+    """Words of the class names that mean a part beside the article: every word is such a part's or goes with one."""
+    found = set()
+    for name in value.split():
+        words = set(WORD.findall(name))
+        if words <= LEFT_OUT_WORDS | BESIDE_WORDS:
+            found |= words & LEFT_OUT_WORDS
+    return found
+
+
+def left_out(tag: str, attributes: str, in_article=False) -> int:
+    """Whether an element is no part of an article, by tag, role, class or id: 0, ``OUT`` or ``OUT_IF_SMALL``."""
+    if tag in LEFT_OUT and not (in_article and tag == "header"):
+        return OUT_IF_SMALL if tag in AROUND else OUT
+    known = 0
+    if attributes and tag not in ("html", "body", "main"):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in LEFT_OUT_ROLES:
-                return True
-            if name in ("class", "id") and not LEFT_OUT_WORDS.isdisjoint(WORD.findall(value)):
-                return True
-    return False
+                return OUT
+            if name == "role" and value in LEFT_OUT_ROLES and tag != "article":
+                known = OUT_IF_SMALL
+            if name in ("class", "id"):
+                words = class_words(value)
+                if words & COMMENT_WORDS:
+                    return OUT
+                if words and tag != "article":
+                    known = OUT_IF_SMALL
+    return known
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "out", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "out", "density", "sum", "in_article")
 
     def __init__(self, tag, parent, out):
         self.tag, self.parent, self.out = tag, parent, out
+        self.in_article = tag == "article" or parent is not None and parent.in_article
         self.children = []  # nodes and texts in order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -92,7 +122,7 @@ class Node:
 
 def parse(page: str) -> tuple:
     """(root, all nodes in page order) of the element tree."""
-    root = Node("", None, False)
+    root = Node("", None, 0)
     nodes, at, here, opened = [root], 0, root, {}
     size, last_end = len(page), page.rfind(">") + 1  # no tag ends after the last ">"
     while at < size:
@@ -146,7 +176,7 @@ def parse(page: str) -> tuple:
                         opened[here.tag] -= 1
                         here = here.parent
         attributes = m[3] if m[2] else m[6]
-        node = Node(name, here, here.out or left_out(name, attributes))
+        node = Node(name, here, left_out(name, attributes, here.in_article))
         here.children.append(node)
         nodes.append(node)
         if name in RAW:
@@ -158,9 +188,35 @@ def parse(page: str) -> tuple:
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             here = node
             opened[name] = opened.get(name, 0) + 1
+    settle(nodes)
     return root, nodes
 
 
+def settle(nodes: list) -> None:
+    """``out`` of every node from its own kind and the nodes above it.
+
+    An element that is left out only if small stays if it holds most of the text outside those left out for
+    good: over half of all and of that in ``article`` and ``main`` elements, or without such elements nine tenths.
+    """
+    marked = {}  # characters inside article and main elements
+    for node in reversed(nodes):
+        if node.out != OUT:
+            node.chars += sum(len(c) - c.count(" ") - c.count("\n") for c in node.children if isinstance(c, str))
+            inside = node.chars if node.tag in ("article", "main") else marked.get(id(node), 0)
+            if inside:
+                marked[id(node)] = inside
+            if node.parent is not None:
+                node.parent.chars += node.chars
+                if inside:
+                    marked[id(node.parent)] = marked.get(id(node.parent), 0) + inside
+    total, within = nodes[0].chars, marked.get(id(nodes[0]), 0)
+    for node in nodes:
+        most = 2 * node.chars > total and 2 * marked.get(id(node), 0) > within if within else 10 * node.chars > 9 * total
+        node.out = bool(node.parent is not None and node.parent.out or node.out == OUT or node.out and not most)
+    for node in nodes:
+        node.chars = 0
+
+
 def weigh(nodes: list) -> None:
     """Characters and tags of each subtree, composite densities and their sums, from the leaves up."""
     for node in reversed(nodes):
@@ -194,7 +250,9 @@ def weigh(nodes: list) -> None:
 def content(nodes: list) -> list:
     """Roots of the content subtrees, in page order.
 
-    If the best node lies in an ``article`` or ``main`` element, the outermost of these is the content.
+    If the best node lies in an ``article`` or ``main`` element, the outermost of these is the content, with the
+    other outermost ones that are as dense as the path to the best node. If it lies around them, those as dense as
+    the path are the content where they hold over half of the text.
     """
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     within, live = {id(body)}, []
@@ -211,8 +269,17 @@ def content(nodes: list) -> list:
         marked = up if up.tag in ("article", "main") else marked
         up = up.parent
         threshold = min(threshold, up.density)
-    if best is body or marked is not None:
-        return [marked or body]
+    roots, inside = [], set()
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        elif id(n) in within and (n is marked or n.tag in ("article", "main") and n.chars and n.density >= threshold):
+            roots.append(n)
+            inside.add(id(n))
+    if marked is not None or 2 * sum(n.chars for n in roots) > body.chars:
+        return roots
+    if best is body:
+        return [body]
     below = {}  # the largest sum in each subtree
     for n in reversed(live):
         for node in (n, n.parent):
