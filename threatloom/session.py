@@ -51,7 +51,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="threatloom-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return _released(df)
+
+
+# Spark removes the shuffle files of a query that ends while this is set (from 4.1 on; unknown and unused before).
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _released(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` that leaves no shuffle files behind.
+
+    Nothing reads them once the copy is written, but Spark keeps them until the driver happens to collect
+    garbage, so a job of many steps fills the executors' disks with all of them. The setting is taken up when
+    a frame is made, so it holds for a frame of its own and not for the caller's.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE, None)
+    conf.set(RELEASE, "true")
+    try:
+        own = df.select("*")
+        return own.checkpoint()
+    finally:
+        if before is None:
+            conf.unset(RELEASE)
+        else:
+            conf.set(RELEASE, before)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
