@@ -392,7 +392,7 @@ def bucket_pairs(points: DataFrame, sure: int, far: int, most, shard_rows: int)
 
 
 def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, runs): the run hashes of the texts ``wanted`` (node, digest, id)."""
+    """(node, runs): the run hashes of the texts ``wanted`` (node, digest, id, n); ``n`` rows of ``docs`` have that id and text."""
 
     def run(batches):
         for batch in batches:
@@ -400,9 +400,11 @@ def run_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int64()))], names=["node", "runs"])
 
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
-    names = wanted.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id"))
-    rows = rows.join(names, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return rows.dropDuplicates(["node"]).mapInArrow(lean(run), "node long, runs array<long>")
+    names = materialized(wanted.select("node", "n", F.col("digest").alias("_digest"), F.col("id").alias("_id")))
+    rows = rows.join(broadcast_if_small(names), (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")))
+    # only texts that several rows hold with one id are shuffled to take one of them
+    several = rows.where("n > 1").select("node", "text").dropDuplicates(["node"])
+    return rows.where("n = 1").select("node", "text").unionByName(several).mapInArrow(lean(run), "node long, runs array<long>")
 
 
 def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, shard_rows=SHARD_ROWS, first_pairs=FIRST_PAIRS) -> DataFrame:
@@ -429,43 +431,53 @@ def similar_texts(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", kind), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = text_rows(docs, id_col, text_col, F.unhex(text_digest(docs[text_col])).alias("digest"))
     made = materialized(rows.mapInArrow(lean(run), schema))
-    texts = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    # rows of one digest and id are counted first, so that the smallest id (null only if there is no other) brings its count
+    texts = made.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    low = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("low")
+    texts = texts.groupBy("digest").agg(low, F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    texts = texts.select("digest", "low.id", "low.n", "keys", "sketch")
     texts = materialized(texts.withColumn("node", F.monotonically_increasing_id()))  # a short name for each text
 
+    named = texts.select("node", "digest", "id", "n")
+
     def linked(points, most):
-        """Pairs of ``points`` that are similar, and the buckets that hold pairs not compared yet."""
+        """Pairs of ``points`` that are similar, the buckets that hold pairs not compared yet, and the sets of runs read."""
         pairs = materialized(bucket_pairs(points, *sketch_limits(similarity), most, shard_rows))
         left = materialized(pairs.where("more > 0").select("key").distinct())
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(nodes, "node"), id_col, text_col))
+        sets = materialized(run_sets(docs, named.join(nodes, "node"), id_col, text_col))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         either = F.size("x") + F.size("y") - shared
-        return both.where((either == 0) | (shared / either >= similarity)).select("a", "b"), left
+        return both.where((either == 0) | (shared / either >= similarity)).select("a", "b"), left, sets
 
     no_group = F.lit(None).cast("long").alias("grp")
-    links, left = linked(texts.select("node", no_group, "keys", "sketch"), first_pairs)
-    links = materialized(links)
-    found = components(links)
+    links, left, known = linked(texts.select("node", no_group, "keys", "sketch"), first_pairs)
+    found = materialized(components(materialized(links)))
     if not left.isEmpty():
         # buckets that are one group by now hold nothing to compare; in the others no pair is left out that may be
         # similar, but texts are met by their rare runs of words, so alike ones that are not similar enough make no pairs
-        found = materialized(found)
         placed = texts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key"))
         placed = materialized(placed.join(broadcast_if_small(left), "key", "left_semi"))
         several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         points = materialized(placed.join(materialized(several), "key", "left_semi").select("node", "component").distinct())
-        sets = materialized(run_sets(docs, texts.select("node", "digest", "id").join(points.select("node"), "node"), id_col, text_col))
-        sets = sets.withColumnRenamed("runs", "shingles")
+        unread = named.join(points.select("node"), "node").join(known.select("node"), "node", "left_anti")
+        sets = known.join(points.select("node"), "node").unionByName(run_sets(docs, unread, id_col, text_col))
+        sets = materialized(sets.withColumnRenamed("runs", "shingles"))
         sized = points.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node").where("n > 0")
         percent = round(100 * similarity)
         more = confirmed(materialized(prefix_pairs(materialized(sized), sets, percent)), sets, percent)
-        found = components(links.unionByName(more))
-    rows_of = made.groupBy("digest", F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
-    first = texts.join(rows_of, "digest").where(F.col("id").eqNullSafe(F.col("_id")))
-    return first.join(found, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
+        # the new links join whole components, so few links are left to be followed
+        more = more.join(points.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+        more = more.join(points.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        joined = materialized(components(materialized(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())))
+        joined = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+        # a single text has its own number as component and is in no table of components yet
+        found = found.unionByName(points.where("node = component")).distinct()
+        found = found.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return texts.join(found, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity=0.8, **options) -> DataFrame:
