@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,6 +82,41 @@ def test_shared_items(spark):
     assert got == {("a", "b"): 2, ("b", "a"): 2, ("a", "c"): 1, ("c", "a"): 1, ("b", "c"): 1, ("c", "b"): 1}
 
 
+@pytest.mark.parametrize("block", [2, 8192])
+def test_shared_items_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK_ROWS", block)
+    rnd = random.Random(5)
+    rows = [(rnd.choice([0, 1, None]), rnd.choice([1, 2, 3, 4, 5, None]), rnd.choice([7, 7, 7, 8, 9, None])) for _ in range(60)]
+    edges = spark.createDataFrame(rows, "s int, src int, dst int")
+    whole = {r for r in rows if None not in r}
+    want = Counter((s, a, b) for s, a, v in whole for t, b, w in whole if (s, v) == (t, w) and a != b)
+    assert {(r["s"], r["src"], r["dst"]): r["n"] for r in P.project_pairs(edges, "src", "dst").collect()} == want
+
+
+def test_pairs_of_neighbouring_snapshots_are_shuffled_once(spark):
+    rows = [(s, a, b, 1) for s, a, b in [(0, 1, 2), (1, 1, 2), (3, 1, 2), (1, 2, 3), (1, 2, 3), (2, 2, 3), (0, None, 4), (1, None, 4), (None, 5, 6), (2, 7, 8)]]
+    pairs = spark.createDataFrame(rows, "s int, src long, dst long, n long")
+    cur = pairs.select("s", "src", "dst")
+    fresh = cur.where("s > 0").join(cur.withColumn("s", F.col("s") + 1), ["s", "src", "dst"], "left_anti")
+    linked = cur.unionByName(cur.withColumn("s", F.col("s") + 1)).distinct().where("s > 0 and s <= 3")
+    listed = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    got = P.new_pairs(pairs), P.linked_now_or_before(pairs)
+    assert [shuffles(df) for df in (*got, P.project_pairs(pairs.withColumnRenamed("n", "via"), "src", "via"))] == [1, 1, 2]
+    assert listed(got[0]) == listed(fresh) and listed(got[1]) == listed(linked)
+
+
+def test_nodes_meet_pairs_by_broadcast(spark, monkeypatch):
+    pairs, _ = linked(spark, 10, 0.2)
+    nodes, sizes = spark.createDataFrame([(i,) for i in range(10)], "key long"), spark.createDataFrame([(1, 5)], "s int, size long")
+    seen = []
+    monkeypatch.setattr(P, "broadcast_if_small", lambda df, *a: seen.append(a) or df)
+    few = P.negative_pairs(pairs, nodes, sizes, 3)
+    assert seen == [(P.NODE_ROWS,)]
+    monkeypatch.undo()
+    assert sorted(few.collect()) == sorted(P.negative_pairs(pairs, nodes, sizes, 3).collect())
+
+
 def test_sampled_edges(spark):
     edges = spark.createDataFrame([("a", "w", "p", i, i % 3) for i in range(20)] + [("p", "c", "p", 0, 1)], "src_type string, etype string, dst_type string, src_id long, dst_id long")
     ids = spark.createDataFrame([("a", i) for i in range(20)] + [("p", i) for i in range(3)], "ntype string, local_id long")
