@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.operators import metrics as M
+from threatloom.operators import pairs as PJ
 from threatloom.operators import sampling as P
 from threatloom.operators import windows as W
 
@@ -19,6 +20,17 @@ def test_window_ids_and_absent_nodes(spark):
     assert rows == {(i, t): [v if t == at else 0.0] for i, (v, at) in enumerate([(2.0, 1), (5.0, 0), (9.0, 2)]) for t in range(3)}
 
 
+def test_window_ids_are_made_by_tasks_of_bounded_size(spark, monkeypatch):
+    rows = [(s, t, i) for s in range(4) for t in "ab" for i in range(500) if (i + s) % 3]
+    nodes = spark.createDataFrame(rows, "s int, ntype string, id long")
+    plain = sorted(tuple(r) for r in W.window_ids(nodes, 3).collect())
+    assert plain == [(3, t, i, i) for t in "ab" for i in range(500)]
+    monkeypatch.setattr(PJ, "TASK_ROWS", 250)
+    cut = W.window_ids(nodes, 3)
+    assert sorted(tuple(r) for r in cut.collect()) == plain
+    assert max(r["n"] for r in cut.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) <= 500
+
+
 def test_reindex_adds_reversed_edges(spark):
     edges = spark.createDataFrame([(0, 0, "a", 7, "w", "p", 3)], "idx int, t int, src_type string, src long, etype string, dst_type string, dst long")
     ids = spark.createDataFrame([(0, "a", 7, 4), (0, "p", 3, 1)], "idx int, ntype string, id long, local_id long")
