@@ -1,7 +1,9 @@
 """A graph's tables are made when they are read: what only edges need is not done for nodes, and the rows are those of the whole graph."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from threatloom.operators import links as L
 from threatloom.operators import report_graph as R
 from threatloom.operators import snapshots as S
 from threatloom.operators.graph import Graph
@@ -65,3 +67,38 @@ def test_first_writes_are_found_without_sorting(spark):
     want = [("a", "ip", ord_of(0), 9), ("b", "ip", ord_of(3), None), ("c", None, None, 4), (None, "ip", ord_of(1 << 55), 1), ("d", "ip", ord_of(-1), 0)]
     assert listed(found) == sorted(want, key=str)
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+ODD = [  # entities that are called as reports are, in every way that writes edges from them, and rows without a name, number or value
+    (10, "r0", "process", 0, "r1"), (10, "r0", "process", 1, "r2"), (10, "r0", "file", 0, "r2"), (10, "r0", "ip", 0, "r1"),
+    (10, "r0", "attack_stage", 0, "only"), (10, "r0", "attack_stage", 1, "r0"), (10, "r0", "timestamp", 0, "2024-02-01"), (10, "r0", "file", 1, "x"),
+    (11, "r1", "file", 0, "r2"), (11, "r1", "hash", 0, None), (11, "r1", "file", 1, "f"), (12, None, "ip", 0, "i"), (12, None, "file", 0, "f"),
+    (None, "r2", "ip", 0, "lost"), (13, "x", "user", 0, "x"), (13, "x", "process", 0, "p"),
+]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_edges_that_leave_reports_are_those_of_the_whole_graph(spark, ment, odd):
+    if odd:
+        ment = ment.unionByName(spark.createDataFrame(ODD, ment.schema))
+    reports = ment.select("report_idx", "report_name").distinct().unionByName(spark.createDataFrame([(50, "only")], "report_idx long, report_name string"))
+    g = R.build_report_graph(reports, ment)
+    names = {r[0] for r in reports.select("report_name").collect()}
+    want = [e for e in listed(g.edges) if e[0] in names]
+    assert listed(g.report_edges) == want
+    assert odd == ("only" in {e[0] for e in want}) == (None in {e[0] for e in want})
+    assert odd == any(e[2].startswith("process_") for e in want)
+
+
+def test_links_and_members_of_snapshots_read_only_edges_that_leave_reports(spark, ment):
+    def refuse():
+        raise RuntimeError("edges are read")
+
+    whole = R.build_report_graph(ment.select("report_idx", "report_name").distinct(), ment)
+    whole = Graph(whole.nodes.localCheckpoint(), whole.edges.localCheckpoint())
+    part = Graph(whole.nodes, refuse, whole.edges.join(ment.select(F.col("report_name").alias("src")), "src", "left_semi").select(whole.edges.columns))
+    alerts = [("a0", "ip0", "alert_involves_ip"), ("a1", "process1", "alert_involves_process"), ("a1", "/file2", "alert_involves_file"), ("a1", "2024-01-01", "alert_at_timestamp")]
+    kind = {"alert_involves_ip": "ip", "alert_involves_process": "process", "alert_involves_file": "file", "alert_at_timestamp": "timestamp"}
+    b = Graph(spark.createDataFrame([(d, kind[e]) for _, d, e in alerts], "key string, ntype string"), spark.createDataFrame(alerts, "src string, dst string, etype string"))
+    for count in (lambda a: L.link_pairs(L.link_by_file(a, b)), lambda a: L.links_per_source(L.link_by_ip(a, b)), lambda a: L.partner_counts(a, b, L.BY_PROCESS), lambda a: S.snapshot_graph(a, 2).nodes):
+        assert listed(count(part)) == listed(count(whole)) != []
